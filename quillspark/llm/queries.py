@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, media, packing, quality_rules, simhash, url_filter
+from quillspark.llm import bpe, line_dedup, media, packing, quality_rules, secret_scan, simhash, url_filter
 from quillspark.llm.common import materialise
 
 
@@ -22,6 +22,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text, through a new ledger."""
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin([r.kind for r in secret_scan.BASE]))
+    return found.select(
+        "doc_id",
+        *(secret_scan.count(spans, r.kind).alias(f"n_{r.kind}") for r in secret_scan.BASE),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(spans).alias("spans"),
+    )
+
+
+def _spans_sql(kind: str, place: int, pattern: str, least: int, group: int = 0) -> str:
+    """DuckDB: the spans of one kind, by the lengths of what lies between matches."""
+    p = pattern.replace("'", "''")
+    return f"""
+      SELECT blob, '{kind}' AS kind, {place} AS place, f.start AS start, f.start + f.size AS stop FROM (
+        SELECT blob, unnest(list_transform(range(1, len(hits) + 1), lambda i: {{
+          'start': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0),
+          'size': length(hits[i]), 'good': length(regexp_extract(hits[i], '{p}', {group})) >= {least}}})) AS f
+        FROM (SELECT blob, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM blobs))
+      WHERE f.good"""
+
+
+OP1_SQL = f"""
+WITH held AS (SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS blob FROM documents),
+blobs AS (SELECT blob, any_value(text) AS text FROM held GROUP BY blob),
+spans AS ({" UNION ALL ".join(_spans_sql(r.kind, k, r.pattern, r.least, r.group) for k, r in enumerate(secret_scan.RULES))}),
+per_blob AS (
+  SELECT blob, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, place) AS spans,
+    string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, place) FILTER (place < 3) AS base
+  FROM spans GROUP BY blob)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM held LEFT JOIN per_blob USING (blob)
+"""
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a container of 8-bit frames, read back and described."""
     seen = media.describe(media.store(_table(spark, sf_dir, "documents")))
@@ -44,6 +84,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many lines equal or nearly equal an earlier one, links of its lines, and which lines go."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = line_dedup.removed_lines(docs).withColumnRenamed("doc_id", "of_doc")
+    none = F.lit(0).cast("long")
+    return docs.join(gone, F.col("doc_id") == F.col("of_doc"), "left").select(
+        "doc_id",
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        *(F.coalesce(c, none).alias(c) for c in ("n_equal", "n_near", "n_links")),
+        F.coalesce(F.array_join(F.transform("removed", lambda n: n.cast("string")), ","), F.lit("")).alias("removed"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).select(
@@ -70,10 +123,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op2_media_columns, op3_quality_rules, op5_packing, op7_url_filter, op8_bpe, op10_simhash,
+        op1_secret_scan, op2_media_columns, op3_quality_rules, op4_line_dedup, op5_packing, op7_url_filter, op8_bpe, op10_simhash,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_secret_scan": OP1_SQL}
