@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, line_dedup, media, packing, quality_rules, secret_scan, simhash, url_filter
+from quillspark.llm import bpe, line_dedup, media, packing, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
 from quillspark.llm.common import materialise
 
 
@@ -104,6 +104,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without strings of 100 bytes that start earlier in the corpus."""
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return url_filter.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")).select(
@@ -123,7 +128,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_secret_scan, op2_media_columns, op3_quality_rules, op4_line_dedup, op5_packing, op7_url_filter, op8_bpe, op10_simhash,
+        op1_secret_scan, op2_media_columns, op3_quality_rules, op4_line_dedup, op5_packing, op6_suffix_dedup, op7_url_filter, op8_bpe, op10_simhash,
     )
     return {f.__name__: f for f in found}
 
