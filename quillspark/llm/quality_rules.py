@@ -17,14 +17,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillspark.llm.common import id_and_text, map_rows
+from quillspark.llm.common import id_and_text, map_rows, materialise
 
 #: Rows that the list is fitted on at most: those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -91,6 +93,27 @@ def statistics(docs: DataFrame) -> DataFrame:
     return map_rows(id_and_text(docs), make, STATS)
 
 
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """Each whole row of ``docs`` as the struct ``row``, beside the statistics of its text; nothing is shuffled."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    names = [part.split()[0] for part in STATS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(zip(*map(text_stats, batch.column(1).to_pylist()), strict=True)) or [()] * (len(names) - 1)
+            columns = [batch.column(0), batch.column(2).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in found)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", *names])
+
+    schema = StructType([packed.schema["row"], *StructType.fromDDL(STATS).fields])
+    return packed.mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that neither the base rules nor the learned list reject."""
+    rules = fit(materialise(statistics(docs), "stats"), labels)
+    return judge(with_statistics(docs), rules).where("kept").select("row.*")
+
+
 def base_failed() -> Column:
     return F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, line_dedup, media, packing, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
+from quillspark.llm import bpe, chat, line_dedup, media, packing, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
 from quillspark.llm.common import materialise
 
 
@@ -121,6 +121,23 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def transcripts(turns: DataFrame) -> DataFrame:
+    """Turns as a raw transcript has them: two in three start with some spelling of their speaker, the others bare."""
+    pick = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(6))
+    shown = F.when(F.col("role") == "user", F.element_at(F.array(F.lit("Human: "), F.lit("USER> ")), (pick % 2 + 1).cast("int")))
+    shown = shown.when(F.col("role") == "assistant", F.element_at(F.array(F.lit("AI: "), F.lit("**Assistant:** ")), (pick % 2 + 1).cast("int")))
+    shown = shown.when(F.col("role") == "system", F.lit("System: "))
+    text = F.concat(F.when(pick < 4, F.coalesce(shown, F.lit(""))).otherwise(F.lit("")), F.coalesce("text", F.lit("")))
+    return turns.select("conv_id", "turn", "role", text.alias("text"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered role and canonical rendering of every turn; roles of even conversations teach the model."""
+    turns = transcripts(_table(spark, sf_dir, "conversations"))
+    found = chat.format_turns(turns, lambda seen: seen.withColumn("role", F.when(F.col("conv_id") % 2 == 0, F.col("role"))))
+    return found.select("conv_id", "turn", "role", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -128,7 +145,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_secret_scan, op2_media_columns, op3_quality_rules, op4_line_dedup, op5_packing, op6_suffix_dedup, op7_url_filter, op8_bpe, op10_simhash,
+        op1_secret_scan, op2_media_columns, op3_quality_rules, op4_line_dedup, op5_packing, op6_suffix_dedup, op7_url_filter, op8_bpe, op9_chat_format, op10_simhash,
     )
     return {f.__name__: f for f in found}
 

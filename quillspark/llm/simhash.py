@@ -183,3 +183,9 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, most_bits:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, words_each: int = SHINGLE_WORDS, most_bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with only the smallest doc_id of each component; rows without an id stay."""
+    copies = near_duplicates(docs, words_each, most_bits).where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, docs["doc_id"] == F.col("_copy"), "left_anti")
