@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import materialise
+
 THRESHOLD, MIN_CHARS = 1, 20
 #: Letters whose counts are compared before a pair is verified, eight bits each.
 LETTERS = "etaoinsr"
@@ -64,11 +66,12 @@ def segment_keys(found: DataFrame, threshold: int) -> DataFrame:
                 own = shorter == 0 and shift == 0
                 rows.append(f"struct({_key(length, i, f'{start} + {shift}', size)} AS key, {0 if own else 1} AS side)")
     counts = " | ".join(f"shiftleft(bigint((n - length(replace(line, '{c}', ''))) & 255), {8 * k})" for k, c in enumerate(LETTERS))
+    # The keys are made before they are dealt into rows, so that no row carries the line.
     return (
         found.withColumn("n", F.length("line"))
         .where(F.col("n") >= MIN_CHARS)
-        .select("h1", F.expr(counts).alias("letters"), F.expr(f"inline(array({', '.join(rows)}))"))
-        .select("key", "side", "h1", "letters")
+        .select("h1", F.expr(counts).alias("letters"), F.expr(f"array({', '.join(rows)})").alias("keys"))
+        .select("h1", "letters", F.inline("keys"))
         .distinct()
     )
 
@@ -118,20 +121,22 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     found = lines(docs)
     distinct = found.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("copies"))
     keys = segment_keys(found, threshold)
-    index, probe = keys.where("side = 0").alias("i"), keys.alias("p")
-    meet = (F.col("i.key") == F.col("p.key")) & F.expr("p.side = 1 AND i.h1 <> p.h1 OR p.side = 0 AND i.h1 < p.h1")
-    pairs = (
-        index.join(probe, meet & _letters_close("i.letters", "p.letters", threshold))
+    index, probe = keys.alias("i"), keys.alias("p")
+    # Sides are compared, not filtered, so that both ends of the join read one exchange.
+    sides = F.expr("i.side < p.side AND i.h1 <> p.h1 OR i.side = p.side AND i.h1 < p.h1 AND i.side + p.side = 0")
+    pairs = materialise(
+        index.join(probe, (F.col("i.key") == F.col("p.key")) & sides & _letters_close("i.letters", "p.letters", threshold))
         .select(F.col("i.h1").alias("a1"), F.col("p.h1").alias("b1"))
-        .distinct()
+        .distinct(),
+        "line-pairs",
     )
     wanted = pairs.select(F.explode(F.array("a1", "b1")).alias("h1")).distinct()
     places = distinct.join(wanted, "h1").select("h1", "h2", F.col("first").alias("pos"))
-    texts = found.select("pos", "line").join(places, "pos").dropDuplicates(["pos", "h1", "h2"])
+    texts = materialise(found.select("pos", "line").join(places, "pos").dropDuplicates(["pos", "h1", "h2"]), "line-texts")
     a = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
     b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
     close = pairs.join(a, "a1").join(b, "b1").where(within(F.col("a"), F.col("b"), threshold))
-    return distinct, close.select("a1", "a2", "b1", "b2").distinct()
+    return distinct, materialise(close.select("a1", "a2", "b1", "b2").distinct(), "line-links")
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -89,9 +89,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = line_dedup.removed_lines(docs).withColumnRenamed("doc_id", "of_doc")
     none = F.lit(0).cast("long")
-    return docs.join(gone, F.col("doc_id") == F.col("of_doc"), "left").select(
+    # Lines are counted before the join, so that it moves no text.
+    counted = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    return counted.join(gone, F.col("doc_id") == F.col("of_doc"), "left").select(
         "doc_id",
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        "n_lines",
         *(F.coalesce(c, none).alias(c) for c in ("n_equal", "n_near", "n_links")),
         F.coalesce(F.array_join(F.transform("removed", lambda n: n.cast("string")), ","), F.lit("")).alias("removed"),
     )
