@@ -78,7 +78,7 @@ def segment_keys(found: DataFrame, threshold: int) -> DataFrame:
 
 def _letters_close(a: str, b: str, threshold: int) -> Column:
     """One edit changes two letter counts by one at most; counts are known modulo 256."""
-    gaps = (f"(shiftrightunsigned({a}, {8 * k}) - shiftrightunsigned({b}, {8 * k})) & 255" for k in range(len(LETTERS)))
+    gaps = (f"((shiftrightunsigned({a}, {8 * k}) & 255) - (shiftrightunsigned({b}, {8 * k}) & 255)) & 255" for k in range(len(LETTERS)))
     return F.expr(" + ".join(f"least({g}, 256 - ({g}))" for g in gaps) + f" <= {2 * threshold}")
 
 
