@@ -6,6 +6,8 @@ fixed schema: unknown shapes become nulls, never errors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,10 @@ def canonical_field(json: Column) -> Column:
     return F.when(v.isNull() | (kind == "VOID"), None).when(kind.startswith("OBJECT"), whole).when(kind.startswith("ARRAY"), None).otherwise(plain)
 
 
+def _list_leaf(name: str) -> Callable[[Column, Column], Column]:
+    return lambda x, i: F.struct(F.concat(F.lit(name + "["), i.cast("string"), F.lit("]")).alias("path"), x.alias("field"))
+
+
 def leaves(doc: Column) -> Column:
     """Every leaf as ``path`` (with list places) and ``field``, in section and key order."""
     parts = []
@@ -54,9 +60,8 @@ def leaves(doc: Column) -> Column:
         for f in fields:
             parts.append(F.array(F.struct(F.lit(f"{section}.{f}").alias("path"), doc[section][f].alias("field"))))
         for f in lists:
-            name = f"{section}.{f}"
-            item = lambda x, i, name=name: F.struct(F.concat(F.lit(name + "["), i.cast("string"), F.lit("]")).alias("path"), x.alias("field"))
-            parts.append(F.coalesce(F.transform(doc[section][f], item), F.array().cast(f"array<struct<path: string, field: {FIELD}>>")))
+            none = F.array().cast(f"array<struct<path: string, field: {FIELD}>>")
+            parts.append(F.coalesce(F.transform(doc[section][f], _list_leaf(f"{section}.{f}")), none))
     return F.filter(F.concat(*parts), lambda x: x["field"].isNotNull())
 
 

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, and the SQL that checks them."""
 
-from quillspark.plans import documents
+from quillspark.plans import documents, text
 from quillspark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "documents"]
+__all__ = ["ORACLES", "QUERIES", "documents", "text"]
