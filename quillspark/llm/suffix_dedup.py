@@ -4,7 +4,7 @@
    of equals. Neighbouring windows share anchors, so a document is about one anchor for 35 bytes, and equal
    windows have equal anchors at equal offsets.
 2. Anchors whose gram occurs once in the corpus can't start repeats; the rest are found by an aggregation and
-   a join on the gram's hash.
+   a join on the gram's hash. Copies of whole documents go at once, by their digests.
 3. The text around each repeated anchor (its windows) is grouped by anchor. Equal contexts meet in one row
    with their first place, combined before the shuffle.
 4. For each group, the suffixes at anchors are sorted and their common-prefix lengths stack-scanned. In each
@@ -119,12 +119,27 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "gram long, doc_id long, at long")
 
 
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id`` of documents whose whole text is that of a smaller doc_id; texts don't move, only their digests."""
+    known = docs.where(F.octet_length("text") >= WINDOW).select("doc_id", F.sha2("text", 256).alias("digest"))
+    first = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = first.select(F.col("digest").alias("of"), "first")
+    return known.join(first, F.col("digest") == F.col("of")).where("doc_id > first").select("doc_id").distinct()
+
+
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``spots``: the repeated anchors of each document with any (gram, at, and whether it is hot)."""
+    """``doc_id`` and ``spots``: the repeated anchors of each document with any (gram, at, and whether it is hot).
+
+    A copy of a whole document has ``copy`` set and no spots: all of it goes, and it is never first.
+    """
     found = anchor_rows(docs)
     repeated = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("of"), (F.col("n") > HOT).alias("hot"))
+    # Written, so that both sides of the join are dealt anew and a hot gram can be split over tasks.
+    repeated = materialise(repeated, "grams")
     spots = found.join(repeated, F.col("gram") == F.col("of")).groupBy("doc_id").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("spots"))
-    return materialise(spots, "anchors")
+    copies = materialise(whole_copies(docs), "copies").withColumnRenamed("doc_id", "of_copy")
+    marked = spots.join(copies, F.col("doc_id") == F.col("of_copy"), "left").withColumn("copy", F.col("of_copy").isNotNull())
+    return materialise(marked.select("doc_id", F.when(~F.col("copy"), F.col("spots")).alias("spots"), "copy"), "anchors")
 
 
 def contexts(docs: DataFrame, spots: DataFrame) -> DataFrame:
@@ -150,7 +165,8 @@ def contexts(docs: DataFrame, spots: DataFrame) -> DataFrame:
 
         return row
 
-    joined = docs.join(spots.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of")).select("doc_id", "text", "spots")
+    own = spots.where(~F.col("copy")).withColumnRenamed("doc_id", "of")
+    joined = docs.join(own, F.col("doc_id") == F.col("of")).select("doc_id", "text", "spots")
     rows = map_rows(joined, make, "part long, context binary, windows int, distance int, doc_id long, start long", batch_rows=20_000)
     place = F.expr(f"cast(doc_id AS decimal(20, 0)) * {1 << PLACE_BITS} + start").cast("decimal(38,0)")
     return rows.groupBy("part", "context", "windows", "distance").agg(F.min(place).alias("place"))
@@ -271,18 +287,20 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     owned = texts.where("doc_id IS NOT NULL")
     spots = repeated_anchors(owned)
     live = survivors(contexts(owned, spots)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("live"))
-    marks = spots.select(F.col("doc_id").alias("of"), F.transform("spots", lambda s: s["at"]).alias("ats")).join(
+    marks = spots.select(F.col("doc_id").alias("of"), "copy", F.transform("spots", lambda s: s["at"]).alias("ats")).join(
         live.withColumnRenamed("doc_id", "of_live"), F.col("of") == F.col("of_live"), "left"
     )
-    joined = owned.join(marks, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "ats", "live")
-    none = texts.where("doc_id IS NULL").select("doc_id", "text", F.expr("cast(null AS array<bigint>)").alias("ats"), F.expr("cast(null AS array<struct<start: bigint, windows: int>>)").alias("live"))
+    joined = owned.join(marks, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "copy", "ats", "live")
+    none = texts.where("doc_id IS NULL").select("doc_id", "text", *(F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in ("copy", "ats", "live")))
 
     def make() -> Callable[[tuple], Iterable[tuple]]:
         def row(values: tuple) -> Iterable[tuple]:
-            doc_id, text, ats, kept = values
+            doc_id, text, copy, ats, kept = values
             raw = text.encode()
             left, removed, spans = raw, 0, 0
-            if ats:
+            if copy:
+                left, removed, spans = b"", len(raw), 1
+            elif ats:
                 gone = removal(len(raw), [(a >> 16, a >> 8 & 255) for a in ats], [(k["start"], k["windows"]) for k in kept or ()])
                 removed = int(gone.sum())
                 spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
