@@ -109,6 +109,25 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.n
     return float(best[room]), counts
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots: plain array operations, whose time doesn't depend on a BLAS's threads."""
+    n = len(matrix)
+    both = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        rows = np.flatnonzero(factors)
+        both[rows] -= factors[rows, None] * both[k]
+    return both[:, n:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most_rounds: int = 4000) -> list[tuple[float, np.ndarray]]:
     """Patterns and their use in an optimal basis of ``min sum x, sum pattern * x = demand``.
 
@@ -117,13 +136,13 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most_rou
     n = len(sizes)
     basis = np.diag(np.maximum(1, room // sizes).astype(float))
     inverse = np.diag(1 / np.diag(basis))
-    use = inverse @ demand.astype(float)
+    use = _times(inverse, demand)
     for step in range(1, most_rounds + 1):
         prices = inverse.sum(axis=0)  # every column costs one sequence
         value, column = price(np.maximum(prices, 0), sizes, room)
         if value <= 1 + GAP:  # Farley's bound: the basis costs at most this share over the optimum
             break
-        direction = inverse @ column
+        direction = _times(inverse, column)
         able = direction > 1e-9
         if not able.any():
             break
@@ -131,8 +150,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, most_rou
         leave = int(np.argmin(ratios))
         basis[:, leave] = column
         if step % 64 == 0:
-            inverse = np.linalg.inv(basis)
-            use = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(basis)
+            use = np.maximum(_times(inverse, demand), 0)
             continue
         pivot = inverse[leave] / direction[leave]
         inverse -= np.outer(direction, pivot)
