@@ -282,7 +282,8 @@ def test_column_generation_is_near_the_bound():
             used[size] += times * n
     assert used == histogram
     least = -(-sum(s * n for s, n in histogram.items()) // 128)
-    assert sum(times for times, _ in plan) <= least * 1.05 + 2
+    least = max(least, sum(n for s, n in histogram.items() if s > 64))  # no two of these share a sequence
+    assert sum(times for times, _ in plan) <= least * 1.01 + len(histogram)  # rounding costs less than a sequence a class
 
 
 # Suffix-array dedup
