@@ -23,6 +23,10 @@ SECTIONS = {
     "staffOnly": (("therapistName", "roomNo", "branch"), ("treatments",)),
 }
 TREATMENT_SLOTS = 4
+#: Slots that hold handwriting, beside every treatment.
+HANDWRITTEN = tuple(("header", f) for f in SECTIONS["header"][0]) + tuple(
+    (s, f) for s, f in (("customerInformation", "name"), ("customerInformation", "nationality"), ("customerInformation", "hotelName"), ("staffOnly", "therapistName"), ("staffOnly", "roomNo"))
+)
 
 
 def document_schema() -> str:
@@ -93,6 +97,24 @@ def least_confidence(found: Column) -> Column:
     )
 
 
+def reading_summary(doc: Column) -> Column:
+    """How well the machine read the handwriting: slots with writing, those read, and their mean percent, rounded once.
+
+    An edit keeps the machine's reading and counts if it has one; ink that couldn't be read counts 0.
+    """
+    slots = [doc[section][f] for section, f in HANDWRITTEN]
+    every = F.filter(F.concat(F.array(*slots), F.coalesce(doc["staffOnly"]["treatments"], F.array().cast(f"array<{FIELD}>"))), lambda x: x.isNotNull())
+    blank = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
+    written = F.filter(every, lambda x: ~F.coalesce(x["source"] == "ink-mark", F.lit(False)) & (~blank(x["raw"]) | ~blank(x["value"]) & ~F.coalesce(x["source"] == "human", F.lit(False)) | (F.coalesce(x["source"] == "none", F.lit(False)) & flagged_field(x))))
+    seen = lambda x: ~blank(x["value"]) | F.coalesce(x["source"] == "human", F.lit(False))
+    percent = lambda x: F.when(seen(x), F.when(x["confidence"] <= 1, x["confidence"] * 100).otherwise(F.coalesce(x["confidence"], F.lit(0.0)))).otherwise(0.0)
+    total = F.aggregate(F.transform(written, percent), F.lit(0.0), lambda a, x: a + x)
+    return F.struct(
+        F.size(written).cast("long").alias("with_writing"), F.size(F.filter(written, seen)).cast("long").alias("n_read"),
+        F.when(F.size(written) > 0, F.floor(total / F.size(written) + 0.5)).alias("percent"),
+    )
+
+
 def cleared(field: Column) -> Column:
     return field.withField("needsReview", F.lit(False))
 
