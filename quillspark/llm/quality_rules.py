@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from quillspark.llm.common import id_and_text, map_rows, materialise
 
-#: Rows that the list is fitted on at most: those with the smallest hash of their id.
+#: Rows that the list is fitted on at most: all labelled ones, or those with the smallest hashes of their ids, about 19 in 20 of this many.
 FIT_ROWS = 20_000
 #: Labelled rows of either class without which nothing is learned.
 MIN_SIDE = 10
@@ -212,14 +212,16 @@ def verdict(rules: list[Rule]) -> Column:
 def fit(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     """Learn from at most ``FIT_ROWS`` labelled documents. ``labels`` has doc_id and quality (1: good)."""
     quality = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    chosen = (
+    known = (
         stats.join(quality, "doc_id")
         .where(~base_failed())
-        .select("doc_id", "quality", *(F.expr(f"double({e})").alias(k) for k, e in FEATURES.items()))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES)
-        .limit(FIT_ROWS)
-        .toPandas()
+        .select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", *(F.expr(f"double({e})").alias(k) for k, e in FEATURES.items()))
     )
+    # A cut of the hash takes the sample where the rows are; a top-k would send its k from every partition to the driver.
+    share = 0.95 * FIT_ROWS / max(1, known.count())
+    if share < 1:
+        known = known.where(F.col("h") < int((2 * share - 1) * 2**63))
+    chosen = known.limit(FIT_ROWS).toPandas().sort_values(["h", "doc_id", *FEATURES], ignore_index=True)
     bad = (chosen["quality"] < 0.5).to_numpy(bool)
     if min(bad.sum(), (~bad).sum()) < MIN_SIDE:
         return []
