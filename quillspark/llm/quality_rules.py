@@ -95,14 +95,17 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """Each whole row of ``docs`` as the struct ``row``, beside the statistics of its text; nothing is shuffled."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     names = [part.split()[0] for part in STATS.split(", ")]
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(zip(*map(text_stats, batch.column(1).to_pylist()), strict=True)) or [()] * (len(names) - 1)
-            columns = [batch.column(0), batch.column(2).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in found)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", *names])
+            for lo in range(0, batch.num_rows, 512):
+                rows = batch.column(0).slice(lo, 512)
+                found = zip(*(text_stats(text or "") for text in rows.field(text_at).to_pylist()), strict=True)
+                columns = [rows, rows.field(id_at).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in found)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", *names])
 
     schema = StructType([packed.schema["row"], *StructType.fromDDL(STATS).fields])
     return packed.mapInArrow(run, schema)
