@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import id_and_text, map_rows, materialise
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Pieces of one class and block are ranked in one task; blocks grow in number with the table.
 ROWS_A_BLOCK = 20_000
 #: Column generation ends when the basis is proven this close to the optimum of the linear program.
