@@ -6,7 +6,8 @@ substrings that an alignment allows. Pairs that meet are filtered by letter coun
 bit-parallel automaton over the ``2 * threshold + 1`` diagonals of the band.
 
 A line goes if an earlier one (smaller doc_id, or same document and earlier line) equals it, or is within
-``threshold`` edits and both have ``MIN_CHARS`` characters. Lines are judged on the input, not on what is left.
+``threshold`` edits (without one: an edit for every ``MIN_CHARS`` characters of the shorter line, at most
+``MOST_EDITS``) and both have ``MIN_CHARS`` characters. Lines are judged on the input, not on what is left.
 
 Rows and edge cases
 -------------------
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import materialise
 
-THRESHOLD, MIN_CHARS = 1, 20
+#: Without a threshold, a line may differ by one edit for every ``MIN_CHARS`` characters, up to ``MOST_EDITS``.
+MOST_EDITS, MIN_CHARS = 3, 20
 #: Letters whose counts are compared before a pair is verified, eight bits each.
 LETTERS = "etaoinsr"
 _LINES = 1 << 32
@@ -66,13 +68,15 @@ def segment_keys(found: DataFrame, threshold: int) -> DataFrame:
                 own = shorter == 0 and shift == 0
                 rows.append(f"struct({_key(length, i, f'{start} + {shift}', size)} AS key, {0 if own else 1} AS side)")
     counts = " | ".join(f"shiftleft(bigint((n - length(replace(line, '{c}', ''))) & 255), {8 * k})" for k, c in enumerate(LETTERS))
-    # The keys are made before they are dealt into rows, so that no row carries the line.
+    # Equal lines meet with their keys still in one row, so that one exchange carries the dealt keys, and none carries lines.
+    whole = F.struct(F.expr(counts).alias("letters"), F.expr(f"array({', '.join(rows)})").alias("keys"))
     return (
         found.withColumn("n", F.length("line"))
         .where(F.col("n") >= MIN_CHARS)
-        .select("h1", F.expr(counts).alias("letters"), F.expr(f"array({', '.join(rows)})").alias("keys"))
-        .select("h1", "letters", F.inline("keys"))
-        .distinct()
+        .select("h1", whole.alias("whole"))
+        .groupBy("h1")
+        .agg(F.first("whole").alias("whole"))
+        .select("h1", F.col("whole.letters").alias("letters"), F.inline(F.array_distinct("whole.keys")))
     )
 
 
@@ -116,16 +120,27 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(gap) > k, F.lit(False)).when(F.length(b) == 0, F.lit(True)).otherwise(near)
 
 
-def near_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def _near(a: Column, b: Column, threshold: int | None) -> Column:
+    if threshold is not None:
+        return within(a, b, threshold)
+    shorter = F.least(F.length(a), F.length(b))
+    out = within(a, b, 1)
+    for edits in range(2, MOST_EDITS + 1):
+        out = F.when(shorter >= edits * MIN_CHARS, within(a, b, edits)).otherwise(out)
+    return out
+
+
+def near_lines(docs: DataFrame, threshold: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The distinct lines (``h1, h2, first, copies``) and the links between them (``a1, a2, b1, b2``, once a pair)."""
     found = lines(docs)
+    most = MOST_EDITS if threshold is None else threshold
     distinct = found.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("copies"))
-    keys = segment_keys(found, threshold)
+    keys = segment_keys(found, most)
     index, probe = keys.alias("i"), keys.alias("p")
     # Sides are compared, not filtered, so that both ends of the join read one exchange.
     sides = F.expr("i.side < p.side AND i.h1 <> p.h1 OR i.side = p.side AND i.h1 < p.h1 AND i.side + p.side = 0")
     pairs = materialise(
-        index.join(probe, (F.col("i.key") == F.col("p.key")) & sides & _letters_close("i.letters", "p.letters", threshold))
+        index.join(probe, (F.col("i.key") == F.col("p.key")) & sides & _letters_close("i.letters", "p.letters", most))
         .select(F.col("i.h1").alias("a1"), F.col("p.h1").alias("b1"))
         .distinct(),
         "line-pairs",
@@ -135,11 +150,11 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     texts = materialise(found.select("pos", "line").join(places, "pos").dropDuplicates(["pos", "h1", "h2"]), "line-texts")
     a = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
     b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
-    close = pairs.join(a, "a1").join(b, "b1").where(within(F.col("a"), F.col("b"), threshold))
+    close = pairs.join(a, "a1").join(b, "b1").where(_near(F.col("a"), F.col("b"), threshold))
     return distinct, materialise(close.select("a1", "a2", "b1", "b2").distinct(), "line-links")
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int | None = None) -> DataFrame:
     """``doc_id, n_equal, n_near, n_links`` and ``removed``, the ordered numbers (from 0) of lines that go, for documents with any."""
     distinct, links = near_lines(docs, threshold)
     both = links.union(links.select("b1", "b2", "a1", "a2"))
@@ -163,7 +178,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int | None = None) -> DataFrame:
     """``docs`` without removed lines; n_chars is made to fit."""
     gone = removed_lines(docs, threshold).select(F.col("doc_id").alias("_doc_id"), F.col("removed").alias("_removed"))
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_removed", i))

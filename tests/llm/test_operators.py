@@ -228,6 +228,17 @@ def test_removed_lines_equal_brute_force(spark, threshold):
     assert {x.doc_id: x.removed for x in line_dedup.removed_lines(docs_of(spark, texts), threshold).collect() if x.removed} == want
 
 
+def test_lines_two_and_three_edits_apart_go(spark):
+    base = "the visitor of the second day asked for room 17 and signed the form"
+    texts = [base, base.replace("17", "42"), base.replace("form", "farms"), base.replace("visitor", "tourists")]
+    got = {x.doc_id: x.removed for x in line_dedup.removed_lines(docs_of(spark, texts)).collect() if x.removed}
+    assert [distance(base, t) for t in texts[1:3]] == [2, 2] and distance(base, texts[3]) > 3
+    assert len(base) >= 3 * line_dedup.MIN_CHARS
+    three = [base, base.replace("17", "423")]
+    assert got == {1: [0], 2: [0]} and distance(*three) == 3
+    assert [x.removed for x in line_dedup.removed_lines(docs_of(spark, three)).collect() if x.doc_id == 1] == [[0]]
+
+
 def test_line_dedup_of_odd_rows(odd, empty):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == odd.count() and line_dedup.dedup_lines(empty).count() == 0
