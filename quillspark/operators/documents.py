@@ -128,6 +128,12 @@ def ranked_by_percent(docs: DataFrame, confidence: str, descending: bool = False
     return docs.orderBy(*sorted_by(displayed_percent(F.col(confidence)), descending))
 
 
+def places(docs: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``key`` and ``place`` (from 1) of every row: a sort by ranges, whose sizes give each range its first place."""
+    sorted_ids = docs.orderBy(*order).select(F.col(key).cast("long")).rdd
+    return sorted_ids.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)).toDF(f"{key} long, place long")
+
+
 def page(docs: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     return docs.orderBy(*order).offset(max(0, min(offset, MAX_OFFSET))).limit(max(1, min(limit, MAX_PAGE)))
 

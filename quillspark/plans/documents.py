@@ -138,6 +138,14 @@ def labels_by_name(t: Tables) -> DataFrame:
     return joined.select("o_orderkey", F.col("c_name").alias("batch_label"), F.coalesce("n_name", F.lit("unknown")).alias("name"))
 
 
+@query("SELECT o_orderkey, c_name AS batch_label, coalesce(n_name, 'unknown') AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON upper('nation_' || (c_custkey % 40)) = n_name")
+def labels_by_known_name(t: Tables) -> DataFrame:
+    """Rows 38, 39: as ``labels_by_name``, by texts of which some name a nation."""
+    text = F.upper(F.concat(F.lit("nation_"), F.col("c_custkey") % 40))
+    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left").join(t.nation, text == F.col("n_name"), "left")
+    return joined.select("o_orderkey", F.col("c_name").alias("batch_label"), F.coalesce("n_name", F.lit("unknown")).alias("name"))
+
+
 @query("""SELECT c_custkey, o_orderkey AS last_order, o_orderpriority AS actor FROM customer LEFT JOIN
   (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) ON c_custkey = o_custkey AND k = 1""")
 def latest_actor(t: Tables) -> DataFrame:
@@ -180,6 +188,15 @@ def ordered_array_lookup(t: Tables) -> DataFrame:
     return events.aligned_lookup(wanted, "names", found, "n_name", F.col("c_custkey")).select("place", "wanted", F.col("hit.c_custkey").alias("first_customer"))
 
 
+@query("""WITH wanted AS (SELECT unnest(['NATION_6', 'nowhere', 'NATION_18', 'NATION_6']) AS wanted, unnest([0, 1, 2, 3]) AS place)
+  SELECT CAST(place AS INT) AS place, wanted, arg_min(c_custkey, c_custkey) AS first_customer FROM wanted LEFT JOIN nation ON n_name = wanted LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+def known_names_lookup(t: Tables) -> DataFrame:
+    """Row 45: as ``ordered_array_lookup``, with names that nations have."""
+    wanted = t.spark.range(1).select(F.array(*map(F.lit, ("NATION_6", "nowhere", "NATION_18", "NATION_6"))).alias("names"))
+    found = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey")
+    return events.aligned_lookup(wanted, "names", found, "n_name", F.col("c_custkey")).select("place", "wanted", F.col("hit.c_custkey").alias("first_customer"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, o_orderstatus, c_name, n_name, r_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name LIKE 'A%' WHERE l_linenumber = 1""")
 def job_chain(t: Tables) -> DataFrame:
@@ -306,6 +323,14 @@ def confidence_ranking(t: Tables) -> DataFrame:
     return top.select(F.col("id").alias("o_orderkey"), F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY (p IS NULL), p DESC, o_orderdate DESC, o_orderkey DESC) AS place FROM (SELECT *, floor(CASE WHEN x <= 1 THEN x * 100 ELSE x END + 0.5) AS p FROM (SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 100) / 100.0 END AS x FROM orders))")
+def confidence_places(t: Tables) -> DataFrame:
+    """Rows 73, 76, 80, 127: the place of every order by displayed percent, unread last, ties in the default order."""
+    rows = t.orders.selectExpr("o_orderkey", "o_orderkey AS id", "o_orderdate AS created_at", "CAST(NULL AS BIGINT) AS parent_document_id", "CAST(NULL AS INT) AS page_number", "CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 100) / 100D END AS conf")
+    percent = F.floor(F.when(F.col("conf") <= 1, F.col("conf") * 100).otherwise(F.col("conf")) + 0.5)
+    return documents.places(rows, "o_orderkey", documents.sorted_by(percent, True))
+
+
 @query(f"WITH {FILES_SQL} SELECT id FROM files WHERE {VISIBLE_SQL} ORDER BY created_at DESC, id DESC LIMIT 200 OFFSET 400")
 def document_page(t: Tables) -> DataFrame:
     """Rows 74, 81, 83, 84: the default order, clamped paging."""
