@@ -78,6 +78,14 @@ def csv_cells(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.csv_cell(raw).alias("cell"))
 
 
+@query(f"""SELECT doc_id, {_CELL} AS cell FROM (SELECT doc_id, CASE WHEN regexp_matches(y, '^[=+\\-@\\t\\r]') THEN '''' || y ELSE y END AS x
+  FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' ELSE '' END || text || CASE doc_id % 2 WHEN 0 THEN '"q"' ELSE '' END AS y FROM documents))""")
+def whole_csv_cells(t: Tables) -> DataFrame:
+    """Rows 11, 112, 113: as ``csv_cells``, over whole texts."""
+    raw = F.concat(F.when(F.col("doc_id") % 3 == 0, "=").otherwise(""), "text", F.when(F.col("doc_id") % 2 == 0, '"q"').otherwise(""))
+    return t.documents.select("doc_id", text.csv_cell(raw).alias("cell"))
+
+
 @query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS line FROM nation""")
 def json_line_rows(t: Tables) -> DataFrame:
     """Rows 12, 13, 144: one object a line."""
@@ -215,6 +223,13 @@ def free_text_fields(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", letter.alias("has_value"), F.when(~letter, 0.3).when(F.length(part) > 80, 0.5).otherwise(0.8).alias("confidence"))
 
 
+@query(r"SELECT doc_id, regexp_matches(text, '\p{L}') AS has_value, CASE WHEN NOT regexp_matches(text, '\p{L}') THEN 0.3 WHEN length(text) > 80 THEN 0.5 ELSE 0.8 END AS confidence FROM documents")
+def whole_text_fields(t: Tables) -> DataFrame:
+    """Rows 99, 104: as ``free_text_fields``, over whole texts."""
+    letter = F.col("text").rlike(r"(?U)\p{L}")
+    return t.documents.select("doc_id", letter.alias("has_value"), F.when(~letter, 0.3).when(F.length("text") > 80, 0.5).otherwise(0.8).alias("confidence"))
+
+
 @query("SELECT doc_id, instr(text, '.') AS at, CASE WHEN instr(text, '.') > 0 THEN substr(text, 1, instr(text, '.') - 1) ELSE text END AS head FROM documents")
 def split_answers(t: Tables) -> DataFrame:
     """Row 94: an answer is cut at its marker."""
@@ -450,3 +465,23 @@ def loop_invariant(t: Tables) -> DataFrame:
     plain = rows.select("loop", "page", "raw", "value")
     differing = loop.exceptAll(plain).union(plain.exceptAll(loop)).agg(F.count("*").alias("differing"))
     return rows.agg(F.count("*").alias("n")).join(differing)  # one row each
+
+
+def _whole_readings(t: Tables) -> DataFrame:
+    return t.conversations.select(F.col("conv_id").alias("loop"), F.col("turn").alias("page"), F.col("role").alias("raw"), F.lit("?").alias("value"), F.col("text").alias("truth"))
+
+
+@query("""SELECT c.conv_id AS loop, c.turn AS page, c.role AS raw, coalesce((SELECT arg_max(p.text, p.turn) FROM conversations p WHERE p.conv_id = c.conv_id AND p.role = c.role AND p.turn < c.turn AND p.text <> ''), '?') AS value FROM conversations c""")
+def whole_learning_loop(t: Tables) -> DataFrame:
+    """Row 164: as ``learning_loop``, with whole texts confirmed."""
+    return quality.loop_replay(_whole_readings(t)).select("loop", "page", "raw", "value")
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing FROM conversations")
+def whole_loop_invariant(t: Tables) -> DataFrame:
+    """Row 165: as ``loop_invariant``, with whole texts."""
+    rows = _whole_readings(t)
+    loop = quality.loop_replay(rows, learn=False).select("loop", "page", "raw", "value")
+    plain = rows.select("loop", "page", "raw", "value")
+    differing = loop.exceptAll(plain).union(plain.exceptAll(loop)).agg(F.count("*").alias("differing"))
+    return rows.agg(F.count("*").alias("n")).join(differing)  # one row each

@@ -36,3 +36,14 @@ def test_names_are_found(spark):
     assert "unknown" in names and len(set(names)) > 2
     hits = {x.wanted: x.first_customer for x in QUERIES["known_names_lookup"](spark, str(SF)).collect()}
     assert hits["nowhere"] is None and None not in (hits["NATION_6"], hits["NATION_18"])
+
+
+def test_texts_are_whole(spark, con):
+    texts = dict(con.sql("SELECT doc_id, text FROM documents").fetchall())
+    cells = {x.doc_id: x.cell for x in QUERIES["whole_csv_cells"](spark, str(SF)).collect()}
+    assert len(cells) == len(texts) and all(len(cells[i]) >= len(t) for i, t in texts.items() if t)
+    fields = {x.doc_id: x.confidence for x in QUERIES["whole_text_fields"](spark, str(SF)).collect()}
+    assert any(c == 0.5 for c in fields.values()) and all(fields[i] != 0.8 for i, t in texts.items() if t and len(t) > 80)
+    said = {x[0] for x in con.sql("SELECT text FROM conversations").fetchall()}
+    learned = {x.value for x in QUERIES["whole_learning_loop"](spark, str(SF)).collect()} - {"?"}
+    assert learned <= said and max(map(len, learned)) > 8
