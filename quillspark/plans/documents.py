@@ -357,6 +357,12 @@ def thai_order(t: Tables) -> DataFrame:
     return t.part.orderBy(documents.thai_key(F.col("p_name")), "p_partkey").limit(100).select("p_partkey")
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name) COLLATE th, p_partkey) AS place FROM part")
+def thai_places(t: Tables) -> DataFrame:
+    """Row 77: the place of every part in dictionary order."""
+    return documents.places(t.part, "p_partkey", [documents.thai_key(F.col("p_name")), F.col("p_partkey")])
+
+
 @query("SELECT o_orderkey AS id, 'RUNNING' AS status, CAST(o_orderkey % 3 + 1 AS BIGINT) AS attempts, TIMESTAMP '1996-01-01 00:02:00' AS lease_expires_at FROM orders WHERE o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '1996-01-01' ORDER BY CAST(substr(o_orderpriority, 1, 1) AS INT) DESC, o_orderdate, o_orderkey LIMIT 25")
 def queue_claim(t: Tables) -> DataFrame:
     """Rows 85, Q1: due jobs in claim order."""

@@ -47,3 +47,8 @@ def test_texts_are_whole(spark, con):
     said = {x[0] for x in con.sql("SELECT text FROM conversations").fetchall()}
     learned = {x.value for x in QUERIES["whole_learning_loop"](spark, str(SF)).collect()} - {"?"}
     assert learned <= said and max(map(len, learned)) > 8
+
+
+def test_every_part_has_a_place(spark, con):
+    n = con.sql("SELECT count(*) FROM part").fetchall()[0][0]
+    assert n > 100 and sorted(x.place for x in QUERIES["thai_places"](spark, str(SF)).collect()) == list(range(1, n + 1))
