@@ -134,9 +134,8 @@ def transcripts(turns: DataFrame) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recovered role and canonical rendering of every turn; roles of even conversations teach the model."""
-    turns = transcripts(_table(spark, sf_dir, "conversations"))
-    found = chat.format_turns(turns, lambda seen: seen.withColumn("role", F.when(F.col("conv_id") % 2 == 0, F.col("role"))))
+    """Recovered role and canonical rendering of every turn; all turns of a known role teach the model."""
+    found = chat.format_turns(transcripts(_table(spark, sf_dir, "conversations")))
     return found.select("conv_id", "turn", "role", F.sha2("rendered", 256).alias("rendered_sha256"))
 
 

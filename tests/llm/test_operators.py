@@ -441,6 +441,16 @@ def test_roles_of_held_out_transcripts(spark):
     assert got[0].rendered.startswith(f"<|{got[0].role}|>\n") and "Human:" not in got[0].rendered
 
 
+def test_conversations_of_odd_ids_teach_too(spark, tmp_path):
+    from quillspark.llm import queries
+
+    said = {"user": "why is that?", "assistant": "because of this. " * 9}
+    rows = [(2 * c + 1, t, role, said[role]) for c in range(40) for t, role in enumerate(("user", "assistant") * 3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(x.conv_id, x.turn): x.role for x in queries.queries()["op9_chat_format"](spark, str(tmp_path)).collect()}
+    assert got == {(c, t): role for c, t, role, _ in rows}
+
+
 def test_blocks_find_the_best_path():
     r = np.random.default_rng(3)
     n = len(chat.ROLES)
