@@ -1,6 +1,6 @@
 """URL filters: fixed host and path rules, then association rules that FP-growth mines from labelled URLs.
 
-A transaction is the set of a URL's host and path tokens, and ``BAD`` for a bad one. Rules with ``BAD`` as
+A transaction is the set of a URL's tokens, of host, path and what follows, and ``BAD`` for a bad one. Rules with ``BAD`` as
 consequent are pruned by support, confidence and by a shorter rule that is as sure; they match through an
 inverted index from each rule's rarest token to the rule, and a check of its other tokens.
 
@@ -31,8 +31,6 @@ RULES = (
 BAD = "label:bad"
 #: Share of labelled URLs that a mined rule must cover, and share of those that must be bad.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
-#: Tokens of an antecedent at most; URLs have few tokens that are frequent at ``MIN_SUPPORT``.
-MAX_TOKENS = 3
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -44,13 +42,18 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def tokens(host: Column, path: Column) -> Column:
-    """The distinct tokens of host and path, marked by where they stand."""
+def tail_of(url: Column) -> Column:
+    """Query string and fragment of a URL."""
+    return F.coalesce(F.when(url.contains("://"), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1)), F.lit(""))
+
+
+def tokens(host: Column, path: Column, tail: Column) -> Column:
+    """The distinct tokens of host, path and tail, marked by where they stand."""
     def part(mark: str, text: Column) -> Column:
         words = F.array_distinct(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), ""))
         return F.transform(words, lambda w: F.concat(F.lit(mark), w))
 
-    return F.concat(part("h:", host), part("p:", path))
+    return F.concat(part("h:", host), part("p:", path), part("q:", tail))
 
 
 def fixed_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
@@ -66,15 +69,25 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     """Rules ``rule_id, tokens, confidence, support`` from rows of ``tokens`` and ``bad``."""
     baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    sure = model.associationRules.where(
-        (F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= MAX_TOKENS)
-    ).select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
-    # A rule goes if a shorter one with its tokens is as sure. Subsets of at most three tokens are listed, so the join is on equality.
-    subsets = sure.select(F.col("tokens").alias("whole"), F.col("confidence").alias("own"), F.explode(
-        F.concat(F.transform("tokens", lambda t: F.array(t)), F.flatten(F.transform("tokens", lambda t: F.array(F.array_remove("tokens", t)))))
-    ).alias("tokens")).where("size(tokens) < size(whole) AND size(tokens) > 0")
-    shadowed = subsets.join(sure, "tokens").where("confidence >= own").select(F.col("whole").alias("tokens")).distinct()
-    return sure.join(shadowed, "tokens", "left_anti").withColumn("rule_id", F.xxhash64("tokens"))
+    sure = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(
+        F.sort_array("antecedent").alias("tokens"), "confidence", "support"
+    ).withColumn("rule_id", F.xxhash64("tokens"))
+    # A rule goes if a shorter one with its tokens, of any length, is as sure; shorter ones are found by the index.
+    probes = sure.select(F.col("rule_id").alias("whole_id"), F.col("tokens").alias("whole"), F.col("confidence").alias("own"), F.explode("tokens").alias("token"))
+    within = F.expr("size(needs) < size(whole) AND confidence >= own AND size(array_except(needs, whole)) = 0")
+    shadowed = probes.join(_index(sure), "token").where(within).select(F.col("whole_id").alias("rule_id")).distinct()
+    return sure.join(shadowed, "rule_id", "left_anti").select("tokens", "confidence", "support", "rule_id")
+
+
+def _index(rules: DataFrame) -> DataFrame:
+    """``token``, ``needs`` and ``confidence``: each rule under its token that is rarest among rules."""
+    use = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("rule_id").orderBy("n", "token")
+    return (
+        rules.withColumn("token", F.explode("tokens")).join(use, "token")
+        .withColumn("k", F.row_number().over(rarest)).where("k = 1")
+        .select("token", F.col("tokens").alias("needs"), "confidence")
+    )
 
 
 def mined_matches(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
@@ -82,15 +95,8 @@ def mined_matches(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 
     The index holds each rule under its token that is rarest among rules, so frequent tokens start few probes.
     """
-    use = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    rarest = Window.partitionBy("rule_id").orderBy("n", "token")
-    index = (
-        rules.withColumn("token", F.explode("tokens")).join(use, "token")
-        .withColumn("k", F.row_number().over(rarest)).where("k = 1")
-        .select("token", F.col("tokens").alias("needs"), "confidence")
-    )
     probes = urls.select(key, F.col("tokens").alias("has"), F.explode("tokens").alias("token"))
-    fits = probes.join(index, "token").where(F.size(F.array_except("needs", "has")) == 0)
+    fits = probes.join(_index(rules), "token").where(F.size(F.array_except("needs", "has")) == 0)
     best = F.max(F.struct("confidence", F.array_join("needs", "+").alias("mined")))
     return fits.groupBy(key).agg(best.alias("b")).select(key, "b.mined", F.col("b.confidence").alias("confidence"))
 
@@ -98,16 +104,17 @@ def mined_matches(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``page_id, host, path, rule, verdict`` and the ``mined`` rule. ``labels``: doc_id of a page and quality (0: bad)."""
     host, path = host_and_path(F.col("url"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), tail_of(F.col("url")).alias("tail"))
+    of_url = tokens(F.col("host"), F.col("path"), F.col("tail"))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
     rules = mine(
-        parsed.join(known, F.col("page_id") == F.col("doc_id")).where("host <> ''").select(tokens(F.col("host"), F.col("path")).alias("tokens"), "bad")
+        parsed.join(known, F.col("page_id") == F.col("doc_id")).where("host <> ''").select(of_url.alias("tokens"), "bad")
     )
     # Distinct urls are judged once; a url that fills a third of the rows makes one probe.
-    urls = parsed.select("host", "path").distinct().withColumn("url_key", F.sha2(F.concat_ws("\0", "host", "path"), 256))
-    mined = mined_matches(urls.withColumn("tokens", tokens(F.col("host"), F.col("path"))), rules, "url_key")
+    urls = parsed.select("host", "path", "tail").distinct().withColumn("url_key", F.sha2(F.concat_ws("\0", "host", "path", "tail"), 256))
+    mined = mined_matches(urls.withColumn("tokens", of_url), rules, "url_key")
     return (
-        parsed.withColumn("url_key", F.sha2(F.concat_ws("\0", "host", "path"), 256)).join(mined, "url_key", "left")
+        parsed.withColumn("url_key", F.sha2(F.concat_ws("\0", "host", "path", "tail"), 256)).join(mined, "url_key", "left")
         .withColumn("fixed", fixed_rule(F.col("host"), F.col("path")))
         .select(
             "page_id", "host", "path", F.col("fixed.rule").alias("rule"),

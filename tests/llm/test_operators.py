@@ -423,6 +423,17 @@ def test_bpe_of_odd_rows(odd, empty):
     assert {(x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in rows if x.doc_id in (0, 1)} == {(0, none, none)}
 
 
+def test_rules_of_four_tokens_and_of_query_strings(spark):
+    four = ["a", "b", "c", "d"]
+    rows = [(four, True)] * 10 + [([t for t in four if t != gone], False) for gone in four for _ in range(10)]
+    found = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.01, 0.6).collect()
+    assert [x.tokens for x in found] == [four]
+    urls = [(i, f"http://x.y/p?kind={'spam' if i % 2 else 'ham'}") for i in range(40)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in urls], "doc_id long, quality int")
+    assert {x.page_id for x in url_filter.judge(pages, labels).collect() if x.verdict == "block"} == set(range(1, 40, 2))
+
+
 # Chat formatting
 
 
