@@ -7,18 +7,20 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); only where it is unset, a local one."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``); where it is unset, a local one in local mode, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -29,12 +31,78 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    Shuffle files of the write go as soon as it is done, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote and nothing will read again."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of the largest bitmap that ``probable`` ships (4 MB), and bits for each value where that many fit.
+_MOST_BITS, _BITS_EACH = 25, 32
+
+
+def probable(held: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that is false only of 64-bit hashes that aren't in ``column`` of ``held``.
+
+    The hashes' low bits fill a bitmap of bounded size, which every task gets; an exact join must follow. When there
+    are more values than bits, all pass, and the join moves what it would have moved without the bitmap.
+    """
+    spark = held.sparkSession
+    bits = min(_MOST_BITS, max(12, (_BITS_EACH * held.count()).bit_length()))
+    words = 1 << (bits - 6)
+    at = F.col(column)
+    low = at.bitwiseAND(F.lit((1 << bits) - 1))
+    own = held.select(F.shiftrightunsigned(low, 6).alias("w"), F.expr(f"shiftleft(1L, int({column} & 63))").alias("b"))
+    every = own.union(spark.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")))
+    filled = every.groupBy("w").agg(F.bit_or("b").alias("b")).agg(F.array_sort(F.collect_list(F.struct("w", "b"))).alias("all"))
+    bitmap = filled.select(F.transform("all", lambda x: x["b"])).scalar()
+
+    def test(c: Column) -> Column:
+        word = F.get(bitmap, F.shiftrightunsigned(c.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int"))
+        bit = F.call_function("shiftrightunsigned", word, c.bitwiseAND(F.lit(63)).cast("int"))
+        return bit.bitwiseAND(F.lit(1).cast("long")) == 1
+
+    return test
+
+
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name of theirs meets one of ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unpacked(joined: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` from ``row``, with ``text`` as their text and n_chars, if there is one, made to fit."""
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col(text).alias("text")
+        if name == "n_chars":
+            return F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        return F.col(f"row.`{name}`").alias(name)
+
+    return joined.select(*map(column, docs.columns))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

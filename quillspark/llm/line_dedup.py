@@ -1,22 +1,31 @@
 """Line dedup: a segment-partition edit join over all lines of a corpus, in DataFrame functions only.
 
-Lines within ``threshold`` edits of each other agree in one of ``threshold + 1`` segments. Every distinct line
-indexes its segments under its length, and probes the lengths from its own down to ``threshold`` less with the
-substrings that an alignment allows. Pairs that meet are filtered by letter counts and verified by a
-bit-parallel automaton over the ``2 * threshold + 1`` diagonals of the band.
-
-A line goes if an earlier one (smaller doc_id, or same document and earlier line) equals it, or is within
-``threshold`` edits (without one: an edit for every ``MIN_CHARS`` characters of the shorter line, at most
-``MOST_EDITS``) and both have ``MIN_CHARS`` characters. Lines are judged on the input, not on what is left.
+Lines within ``k`` edits of each other agree in one of ``k + 1`` segments of the shorter one. Every distinct line
+indexes its own segments under its length, and probes the lengths from its own down to ``k`` less with the
+substrings that an alignment allows: if segment ``i`` is the first with fewer edits up to its end than segments,
+what lies before it holds ``i`` edits and what follows at most ``k - i``.
+
+1. Keys are counted, combined before the shuffle, without what they belong to. Most occur once.
+2. Keys that meet are looked up in a bitmap of bounded size, then by an exact join.
+3. A key of over ``HOT`` rows makes no pairs. By the rule above, the longer of the two rests has known edits left:
+   it is cut into segments again, and rows meet on both keys. This goes on for at most ``DEEPEST`` levels.
+4. Pairs that meet are filtered by counts of 32 characters within the join, and verified by a bit-parallel
+   automaton over the ``2 * k + 1`` diagonals of the band, once their common ends are cut off.
+
+A line goes if an earlier one (smaller doc_id, or same document and earlier line) equals it or is near. Lines are
+judged on the input, not on what is left. With ``threshold``, lines are near within that many edits, whatever their
+length. Without, a line may differ by one edit for every ``CHARS`` characters of the shorter line, up to ``MOST_EDITS``.
 
 Rows and edge cases
 -------------------
-* null text: the empty text; lines without a word stay and never count; shorter lines match only exactly
+* null text: the empty text; lines without a word stay and never count
 * null ``doc_id``: kept whole, its lines take no part
 * repeated rows: lines at the same place of the same doc_id don't remove each other
 * equal lines meet in one row before keys are made, combined before the shuffle, so a line that fills a third
   of the corpus makes no pairs; its occurrences only look up one row
-* ties: two lines at one place keep each other; empty table: empty result; other columns pass through ``dedup_lines``
+* ties: two lines at one place keep each other; empty table: empty result; other columns pass through ``dedup_lines``,
+  whatever their names
+* links between different lines are whole: where many lines are all near each other, there are as many as pairs
 """
 
 from __future__ import annotations
@@ -24,133 +33,245 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialise
+from quillspark.llm.common import discard, materialise, packed_rows, probable, unpacked
 
-#: Without a threshold, a line may differ by one edit for every ``MIN_CHARS`` characters, up to ``MOST_EDITS``.
-MOST_EDITS, MIN_CHARS = 3, 20
-#: Letters whose counts are compared before a pair is verified, eight bits each.
-LETTERS = "etaoinsr"
-_LINES = 1 << 32
+#: Without a threshold, a line may differ by one edit for every ``CHARS`` characters, up to ``MOST_EDITS``.
+MOST_EDITS, CHARS = 3, 20
+#: Rows of a key that are joined directly, and how often the rows of larger ones are cut again.
+HOT, DEEPEST = 1_000, 4
+#: Characters whose counts are compared before a pair is verified, four bits each, sixteen in a number.
+COUNTED = ("etaoinsrhldcumfp", "0123456789gwyb .")
+_LINE = ("h1", "h2")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``pos`` (orders lines of the corpus), ``doc_id``, ``line_no``, ``line`` and two hashes of it, for lines with a word."""
-    pos = F.expr(f"cast(doc_id AS decimal(20, 0)) * {_LINES} + line_no").cast("decimal(38,0)")
+    """``doc_id``, ``line_no``, ``line`` and two hashes of it, for lines with a word."""
     return (
         docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-        .select(pos.alias("pos"), "doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+        .select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     )
 
 
-def _segments(length: str, k: int) -> list[tuple[str, str]]:
-    """Start and size, as SQL, of each of ``k`` segments of a line of ``length`` characters; the last ones are longer."""
-    size, extra = f"({length} div {k})", f"({length} % {k})"
-    out = []
-    for i in range(k):
-        longer = f"greatest(0, {i} - ({k} - {extra}))"
-        out.append((f"({i} * {size} + {longer})", f"({size} + if({i} >= {k} - {extra}, 1, 0))"))
-    return out
+def _shifts(i: int, edits: int, gap: int) -> range:
+    """By how much segment ``i`` may have moved in a string that is ``gap`` characters longer."""
+    return range(max(-i, gap - (edits - i)), min(i, gap + edits - i) + 1)
 
 
-def _key(length: str, i: int, start: str, size: str) -> str:
-    return f"xxhash64({length}, {i}, substring(line, int({start} + 1), int({size})))"
+def _cases(edits: range, gaps: range) -> str:
+    """SQL of the constant array of what may be looked up: edits, gap, segment and shift."""
+    found = ((e, g, i, s) for e in edits for g in gaps if abs(g) <= e for i in range(e + 1) for s in _shifts(i, e, g))
+    return "array(" + ", ".join(f"named_struct('e', {e}, 'g', {g}, 'i', {i}, 's', {s})" for e, g, i, s in found) + ")"
 
 
-def segment_keys(found: DataFrame, threshold: int) -> DataFrame:
-    """``key``, ``side``, ``h1`` and ``letters`` of each distinct line: side 0 indexes and probes, side 1 only probes."""
-    rows = []
-    for shorter in range(threshold + 1):
-        length = f"(n - {shorter})"
-        for i, (start, size) in enumerate(_segments(length, threshold + 1)):
-            for shift in range(max(-i, shorter - (threshold - i)), min(i, shorter + threshold - i) + 1):
-                own = shorter == 0 and shift == 0
-                rows.append(f"struct({_key(length, i, f'{start} + {shift}', size)} AS key, {0 if own else 1} AS side)")
-    counts = " | ".join(f"shiftleft(bigint((n - length(replace(line, '{c}', ''))) & 255), {8 * k})" for k, c in enumerate(LETTERS))
-    # Equal lines meet with their keys still in one row, so that one exchange carries the dealt keys, and none carries lines.
-    whole = F.struct(F.expr(counts).alias("letters"), F.expr(f"array({', '.join(rows)})").alias("keys"))
-    return (
-        found.withColumn("n", F.length("line"))
-        .where(F.col("n") >= MIN_CHARS)
-        .select("h1", whole.alias("whole"))
-        .groupBy("h1")
-        .agg(F.first("whole").alias("whole"))
-        .select("h1", F.col("whole.letters").alias("letters"), F.inline(F.array_distinct("whole.keys")))
-    )
+def _start(length: str, x: str) -> str:
+    """Where segment ``x.i`` of ``x.e + 1`` starts in a string of ``length`` characters; the last ones are longer."""
+    return f"({x}.i * ({length} div ({x}.e + 1)) + greatest(0, {x}.i - ({x}.e + 1 - {length} % ({x}.e + 1))))"
+
+
+def _size(length: str, x: str) -> str:
+    return f"({length} div ({x}.e + 1) + if({x}.i >= {x}.e + 1 - {length} % ({x}.e + 1), 1, 0))"
+
+
+def _key(text: str, length: str, x: str, *more: str) -> str:
+    part = f"substring({text}, int({_start(length, x)} + {x}.s + 1), int({_size(length, x)}))"
+    return f"xxhash64({', '.join((*more, length, f'{x}.e', f'{x}.i', part))})"
+
+
+def _allowed(length: str, threshold: int | None) -> str:
+    return str(threshold) if threshold is not None else f"least({MOST_EDITS}, {length} div {CHARS})"
 
 
-def _letters_close(a: str, b: str, threshold: int) -> Column:
-    """One edit changes two letter counts by one at most; counts are known modulo 256."""
-    gaps = (f"((shiftrightunsigned({a}, {8 * k}) & 255) - (shiftrightunsigned({b}, {8 * k}) & 255)) & 255" for k in range(len(LETTERS)))
-    return F.expr(" + ".join(f"least({g}, 256 - ({g}))" for g in gaps) + f" <= {2 * threshold}")
+def line_keys(threshold: int | None) -> Column:
+    """``key``, ``own`` (indexes; all probe) and the case ``x`` of each segment that ``line`` of length ``n`` looks up."""
+    made = f"named_struct('key', {_key('line', '(n - x.g)', 'x')}, 'own', x.g = 0 AND x.s = 0, 'x', x)"
+
+    def of(cases: str) -> str:
+        return f"transform({cases}, x -> {made})"
+
+    if threshold is not None:
+        return F.expr(of(f"filter({_cases(range(threshold, threshold + 1), range(threshold + 1))}, x -> x.g <= n)"))
+    by_length = _cases(range(1, MOST_EDITS + 1), range(MOST_EDITS + 1))
+    long = of(_cases(range(MOST_EDITS, MOST_EDITS + 1), range(MOST_EDITS + 1)))
+    short = of(f"filter({by_length}, x -> x.e = {_allowed('(n - x.g)', None)})")
+    return F.expr(f"if(n >= {MOST_EDITS * CHARS + MOST_EDITS}, {long}, {short})")
+
+
+def _meeting(keyed: DataFrame) -> DataFrame:
+    """``of_key`` and ``rows`` of each key that one line indexes and another row has."""
+    both = F.sum(F.expr("if(own, 4294967297, 1)"))
+    counted = keyed.groupBy("key").agg(both.alias("both")).select(F.col("key").alias("of_key"), F.expr("both & 4294967295").alias("rows"), F.expr("both >> 32").alias("owns"))
+    return counted.where("owns > 0 AND rows > 1").select("of_key", "rows")
+
+
+def _counts() -> list[Column]:
+    """Counts of ``COUNTED`` characters modulo 16."""
+    out = []
+    for k, chars in enumerate(COUNTED):
+        each = (f"shiftleft(bigint((n - length(replace(line, '{c}', ''))) & 15), {4 * b})" for b, c in enumerate(chars))
+        out.append(F.expr(" | ".join(each)).alias(f"c{k}"))
+    return out
+
+
+def _close(a: str, b: str, edits: str) -> Column:
+    """One edit changes two counts by one at most; counts are known modulo 16."""
+    gaps = (
+        f"((shiftrightunsigned({a}.c{k}, {4 * j}) & 15) - (shiftrightunsigned({b}.c{k}, {4 * j}) & 15)) & 15"
+        for k, chars in enumerate(COUNTED)
+        for j in range(len(chars))
+    )
+    return F.expr(" + ".join(f"least({g}, 16 - ({g}))" for g in gaps) + f" <= 2 * {edits}")
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether two strings are at most ``threshold`` edits apart: Wu and Manber's automaton on the band's diagonals.
 
-    Bit ``r`` of the mask for ``e`` errors says that after ``j`` characters of ``b`` the first
-    ``j + r - threshold`` characters of ``a`` match with at most ``e`` errors.
+    Common ends are cut off first. Bit ``r`` of the mask for ``e`` errors says that after ``j`` characters of
+    ``b`` the first ``j + r - threshold`` characters of ``a`` match with at most ``e`` errors.
     """
     k, width = threshold, 2 * threshold + 1
     full = (1 << width) - 1
-    left, right = F.split(a, ""), F.split(b, "")
-    chars = F.struct(left.alias("a"), right.alias("b"))
     start = F.array(*(F.lit(sum(1 << (k + d) for d in range(e + 1))).cast("bigint") for e in range(k + 1)))
 
+    def bound(of: Column, then) -> Column:
+        return F.transform(F.array(of), then)[0]
+
     def step(masks: Column, j: Column, c: Column) -> Column:
         here = F.get(c["b"], j)
         same = [F.when(F.get(c["a"], j + r - k) == here, F.lit(1 << r)).otherwise(F.lit(0)).cast("bigint") for r in range(width)]
         match = same[0]
         for bit in same[1:]:
             match = match.bitwiseOR(bit)
-        new = [masks[0].bitwiseAND(match)]
-        for e in range(1, k + 1):
-            reached = masks[e].bitwiseAND(match).bitwiseOR(masks[e - 1]).bitwiseOR(F.shiftright(masks[e - 1], 1))
-            new.append(reached.bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(full).cast("bigint")))
-        return F.array(*new)
+
+        def moved(m: Column) -> Column:
+            new = [masks[0].bitwiseAND(m)]
+            for e in range(1, k + 1):
+                reached = masks[e].bitwiseAND(m).bitwiseOR(masks[e - 1]).bitwiseOR(F.shiftright(masks[e - 1], 1))
+                new.append(reached.bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(full).cast("bigint")))
+            return F.array(*new)
+
+        # Once no state is left, none comes back.
+        return F.when(masks[k] == 0, masks).otherwise(bound(match, moved))
 
     gap = F.length(a) - F.length(b)
 
     def run(c: Column) -> Column:
         last = F.aggregate(F.sequence(F.lit(0), F.size(c["b"]) - 1), start, lambda m, j: step(m, j, c))
-        return F.shiftright(last[k], 0).bitwiseAND(F.expr("bigint(1)") * F.pow(F.lit(2), gap + k).cast("bigint")) != 0
+        reached = F.shiftright(last[k], 0).bitwiseAND(F.expr("bigint(1)") * F.pow(F.lit(2), gap + k).cast("bigint")) != 0
+        return F.when(F.size(c["b"]) == 0, F.lit(True)).otherwise(reached)
+
+    def chars(text: Column) -> Column:
+        return F.when(F.length(text) == 0, F.expr("cast(array() as array<string>)")).otherwise(F.split(text, ""))
+
+    def core(text: Column, c: Column) -> Column:
+        return chars(F.substring(text, c["p"] + 1, F.length(text) - c["p"] - c["q"]))
+
+    least = F.least(F.length(a), F.length(b))
+    ends = F.struct(a.alias("a"), b.alias("b"), F.reverse(a).alias("ra"), F.reverse(b).alias("rb"), least.alias("n"))
+
+    def alike(c: Column, x: str, y: str, most: Column) -> Column:
+        def longer(p: Column, s: Column) -> Column:
+            return F.when((p + s <= most) & (F.substring(c[x], p + 1, s) == F.substring(c[y], p + 1, s)), p + s).otherwise(p)
+
+        return F.aggregate(F.array(*(F.lit(1 << i) for i in range(30, -1, -1))), F.lit(0), longer)
 
-    near = F.transform(F.array(chars), run)[0]
-    return F.when(F.abs(gap) > k, F.lit(False)).when(F.length(b) == 0, F.lit(True)).otherwise(near)
+    def cut(c: Column) -> Column:
+        def behind(d: Column) -> Column:
+            return F.struct(d["c"].alias("c"), d["p"].alias("p"), alike(c, "ra", "rb", c["n"] - d["p"]).alias("q"))
+
+        return bound(F.struct(c.alias("c"), alike(c, "a", "b", c["n"]).alias("p")), behind)
+
+    def judge(c: Column) -> Column:
+        return bound(F.struct(core(c["c"]["a"], c).alias("a"), core(c["c"]["b"], c).alias("b")), run)
+
+    near = bound(ends, lambda c: bound(cut(c), judge))
+    return F.when(F.abs(gap) > k, F.lit(False)).otherwise(near)
 
 
 def _near(a: Column, b: Column, threshold: int | None) -> Column:
     if threshold is not None:
         return within(a, b, threshold)
     shorter = F.least(F.length(a), F.length(b))
-    out = within(a, b, 1)
-    for edits in range(2, MOST_EDITS + 1):
-        out = F.when(shorter >= edits * MIN_CHARS, within(a, b, edits)).otherwise(out)
-    return out
+    out = F.when(shorter < CHARS, F.lit(False)).when(shorter < 2 * CHARS, within(a, b, 1))
+    for edits in range(2, MOST_EDITS):
+        out = out.when(shorter < (edits + 1) * CHARS, within(a, b, edits))
+    return out.otherwise(within(a, b, MOST_EDITS))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """``a1, a2, b1, b2`` of different lines that meet on a key and have like counts of characters; lines of one length meet once."""
+    once = F.expr("NOT p.even OR i.h1 < p.h1 OR i.h1 = p.h1 AND i.h2 < p.h2")
+    i, p = rows.where("own").alias("i"), rows.alias("p")
+    met = i.join(p, (F.col("i.key") == F.col("p.key")) & once & _close("i", "p", "p.k"))
+    return met.select(F.col("i.h1").alias("a1"), F.col("i.h2").alias("a2"), F.col("p.h1").alias("b1"), F.col("p.h2").alias("b2")).distinct()
+
+
+def _narrowed(hot: DataFrame, most: int) -> DataFrame:
+    """Rows of hot keys again, under keys that also hold a segment of the longer rest, which has ``x.e`` edits left."""
+    m, start, size = "(length(rest) - x.g)", _start("m", "x"), _size("m", "x")
+    right = "2 * x.i <= x.e"
+    rest = f"if({right}, substring(rest, int({start} + x.s + {size} + 1)), substring(rest, 1, int({start} + x.s)))"
+    left = hot.withColumn("m", F.expr(m)).select(
+        "key", "own", "even", "k", *_LINE, "c0", "c1", F.expr(rest).alias("rest"),
+        F.expr(f"if({right}, x.e - x.i, x.i)").alias("e"), F.expr(f"if({right}, x.g - x.s, x.s)").alias("g"),
+    )
+    cases = _cases(range(most + 1), range(-most, most + 1))
+    made = f"named_struct('key', {_key('rest', '(length(rest) - g)', 'x', 'key')}, 'own', own AND x.s = 0, 'x', x)"
+    keys = F.expr(f"transform(filter({cases}, x -> x.e = e AND x.g = g AND length(rest) >= g), x -> {made})")
+    return left.select("even", "k", *_LINE, "c0", "c1", "rest", F.inline(keys))
+
+
+def _candidates(distinct: DataFrame, threshold: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different lines that may be near, and ``h1, h2, line`` of lines that meet others on a key."""
+    known = distinct.select(*_LINE, "line", F.length("line").alias("n"))
+    if threshold is None:
+        known = known.where(f"n >= {CHARS}")
+    keys = line_keys(threshold)
+    meeting = materialise(_meeting(known.select(F.inline(keys))), "line-keys")
+    seen = known.select(*_LINE, F.inline(keys)).where(probable(meeting, "of_key")(F.col("key")))
+    rows = seen.join(meeting, F.col("key") == F.col("of_key")).select(*_LINE, "key", "own", "x", "rows")
+    rows = materialise(rows, "line-rows")
+    wanted = materialise(rows.select(F.col("h1").alias("w1"), F.col("h2").alias("w2")).distinct(), "line-wanted")
+    maybe = known.where(probable(wanted, "w1")(F.col("h1")))
+    texts = maybe.join(wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).select(*_LINE, "line", *_counts())
+    texts = materialise(texts, "line-texts")
+    discard(wanted)
+    counts = texts.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), "c0", "c1")
+    rows = rows.join(counts, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).drop("w1", "w2")
+    rows = materialise(rows.withColumns({"k": F.col("x.e"), "even": F.expr("x.g = 0")}), "line-counted")
+    pairs = _pairs(rows.where(f"rows <= {HOT}"))
+    hot = rows.where(f"rows > {HOT}")
+    for level in range(DEEPEST):
+        if hot.isEmpty():
+            return pairs, texts
+        if not level:
+            lines_of = texts.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("line").alias("rest"))
+            hot = hot.join(lines_of, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).drop("w1", "w2")
+        keyed = materialise(_narrowed(hot, MOST_EDITS if threshold is None else threshold), "line-hot")
+        meeting = materialise(_meeting(keyed), "line-hot-keys")
+        rows = materialise(keyed.join(meeting, F.col("key") == F.col("of_key")).drop("of_key"), "line-hot-rows")
+        discard(keyed)
+        pairs = pairs.union(_pairs(rows.where(f"rows <= {HOT}")))
+        hot = rows.where(f"rows > {HOT}")
+    return pairs.union(_pairs(hot)), texts
+
+
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """``h1, h2``, the ``first`` place (doc_id, line_no), ``copies`` and the ``line`` of each distinct line."""
+    place = F.struct("doc_id", "line_no")
+    return lines(docs).groupBy(*_LINE).agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("line").alias("line"))
 
 
 def near_lines(docs: DataFrame, threshold: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The distinct lines (``h1, h2, first, copies``) and the links between them (``a1, a2, b1, b2``, once a pair)."""
-    found = lines(docs)
-    most = MOST_EDITS if threshold is None else threshold
-    distinct = found.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("copies"))
-    keys = segment_keys(found, most)
-    index, probe = keys.alias("i"), keys.alias("p")
-    # Sides are compared, not filtered, so that both ends of the join read one exchange.
-    sides = F.expr("i.side < p.side AND i.h1 <> p.h1 OR i.side = p.side AND i.h1 < p.h1 AND i.side + p.side = 0")
-    pairs = materialise(
-        index.join(probe, (F.col("i.key") == F.col("p.key")) & sides & _letters_close("i.letters", "p.letters", most))
-        .select(F.col("i.h1").alias("a1"), F.col("p.h1").alias("b1"))
-        .distinct(),
-        "line-pairs",
-    )
-    wanted = pairs.select(F.explode(F.array("a1", "b1")).alias("h1")).distinct()
-    places = distinct.join(wanted, "h1").select("h1", "h2", F.col("first").alias("pos"))
-    texts = materialise(found.select("pos", "line").join(places, "pos").dropDuplicates(["pos", "h1", "h2"]), "line-texts")
+    """The distinct lines and the links between them (``a1, a2, b1, b2``, once a pair)."""
+    distinct = materialise(distinct_lines(docs), "lines")
+    pairs, texts = _candidates(distinct, threshold)
+    pairs = materialise(pairs, "line-pairs")
     a = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
     b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
-    close = pairs.join(a, "a1").join(b, "b1").where(_near(F.col("a"), F.col("b"), threshold))
+    close = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(_near(F.col("a"), F.col("b"), threshold))
+    # A pair may come from several keys; lines of two lengths always have the shorter one first.
     return distinct, materialise(close.select("a1", "a2", "b1", "b2").distinct(), "line-links")
 
 
@@ -165,9 +286,13 @@ def removed_lines(docs: DataFrame, threshold: int | None = None) -> DataFrame:
         .where("copies > 1 OR near IS NOT NULL")
         .select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), "first", "near", "links")
     )
-    at = lines(docs).select("doc_id", "line_no", "pos", "h1", "h2")
+    # Written, so that both sides of the join are dealt anew and a common line can be split over tasks.
+    of_line = materialise(of_line, "line-fates")
+    discard(distinct)
+    at = lines(docs).where(probable(of_line, "l1")(F.col("h1"))).select("doc_id", "line_no", *_LINE)
+    here = F.struct("doc_id", "line_no")
     flagged = at.join(of_line, (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2"))).select(
-        "doc_id", "line_no", "links", (F.col("first") < F.col("pos")).alias("equal"), (F.col("near") < F.col("pos")).alias("close")
+        "doc_id", "line_no", "links", (F.col("first") < here).alias("equal"), (F.col("near") < here).alias("close")
     )
     gone = F.expr("equal OR coalesce(close, false)")
     return flagged.groupBy("doc_id").agg(
@@ -178,12 +303,23 @@ def removed_lines(docs: DataFrame, threshold: int | None = None) -> DataFrame:
     )
 
 
+def without(text: Column, removed: Column) -> Column:
+    """``text`` without the lines of ordered numbers ``removed``: the runs between them, each cut out once."""
+
+    def kept(c: Column) -> Column:
+        def run(j: Column) -> Column:
+            start = F.when(j == 0, F.lit(0)).otherwise(F.get(c["gone"], j - 1) + 1)
+            end = F.when(j == F.size(c["gone"]), F.size(c["lines"])).otherwise(F.get(c["gone"], j))
+            return F.slice(c["lines"], start + 1, end - start)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(c["gone"])), run)), "\n")
+
+    return F.transform(F.array(F.struct(F.split(text, "\n").alias("lines"), removed.alias("gone"))), kept)[0]
+
+
 def dedup_lines(docs: DataFrame, threshold: int | None = None) -> DataFrame:
     """``docs`` without removed lines; n_chars is made to fit."""
-    gone = removed_lines(docs, threshold).select(F.col("doc_id").alias("_doc_id"), F.col("removed").alias("_removed"))
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_removed", i))
-    text = F.when(F.size("_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    out = docs.join(gone, F.col("doc_id") == F.col("_doc_id"), "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    gone = removed_lines(docs.select("doc_id", "text"), threshold).select(F.col("doc_id").alias("of_doc"), "removed")
+    joined = packed_rows(docs).join(gone, F.col("row.doc_id") == F.col("of_doc"), "left")
+    text = F.when(F.size("removed") > 0, without(F.col("row.text"), F.col("removed"))).otherwise(F.col("row.text"))
+    return unpacked(joined.withColumn("new_text", text), docs, "new_text")

@@ -214,18 +214,53 @@ def test_bit_parallel_distance(spark, threshold):
     assert all(x.w == (distance(x.a, x.b) <= threshold) for x in got)
 
 
-@pytest.mark.parametrize("threshold", [1, 2])
-def test_removed_lines_equal_brute_force(spark, threshold):
-    r = random.Random(9)
-    base = [noise(r, r.randint(18, 26)) for _ in range(10)]
-    texts = ["\n".join(edited(r, r.choice(base), r.choice([0, 0, 1, 1, 2, 3])) for _ in range(r.randint(0, 6))) for _ in range(50)]
-    texts += ["", None, base[0][:10], base[0][:10], "\n \n\n"]
+def allowed(a, b, threshold):
+    return min(line_dedup.MOST_EDITS, min(len(a), len(b)) // line_dedup.CHARS) if threshold is None else threshold
+
+
+def near_by_brute_force(texts, threshold):
+    """Removed lines of each document, and links between different lines."""
     at = [(d, i, line) for d, t in enumerate(texts) for i, line in enumerate((t or "").split("\n")) if words_of(line)]
-    want = {}
-    for n, (d, i, line) in enumerate(at):
-        if any(line == o or min(len(line), len(o)) >= line_dedup.MIN_CHARS and distance(line, o) <= threshold for _, _, o in at[:n]):
+    known = sorted({line for _, _, line in at})
+    links = {(a, b) for k, a in enumerate(known) for b in known[k + 1 :] if 0 < distance(a, b) <= allowed(a, b, threshold)}
+    links |= {(b, a) for a, b in links}
+    want, seen = {}, set()
+    for d, i, line in at:
+        if line in seen or any((line, o) in links for o in seen):
             want.setdefault(d, []).append(i)
-    assert {x.doc_id: x.removed for x in line_dedup.removed_lines(docs_of(spark, texts), threshold).collect() if x.removed} == want
+        seen.add(line)
+    return want, len(links), Counter(a for a, _ in links), at
+
+
+@pytest.mark.parametrize(("threshold", "hot"), [(1, 1000), (2, 1000), (None, 1000), (1, 2), (2, 2), (3, 2), (None, 2)])
+def test_removed_lines_equal_brute_force(spark, monkeypatch, threshold, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(9)
+    base = [noise(r, r.choice([7, 18, 22, 39, 43, 59, 61, 64, 90])) for _ in range(14)]
+    base += [base[-1][:45] + noise(r, 45) for _ in range(6)] + ["ab" * 33, "-" * 64]
+    texts = ["\n".join(edited(r, r.choice(base), r.choice([0, 0, 1, 1, 2, 3, 4])) for _ in range(r.randint(0, 6))) for _ in range(70)]
+    texts += ["", None, base[0][:10], base[0][:10], "\n \n\n"]
+    want, _, links, at = near_by_brute_force(texts, threshold)
+    got = line_dedup.removed_lines(docs_of(spark, texts), threshold).collect()
+    assert {x.doc_id: x.removed for x in got if x.removed} == want
+    of_doc = Counter()
+    for d, _, line in at:
+        of_doc[d] += links[line]
+    assert {x.doc_id: x.n_links for x in got if x.n_links} == {d: n for d, n in of_doc.items() if n}
+
+
+def test_lines_with_a_common_half_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 50)
+    r = random.Random(3)
+    half = noise(r, 50)
+    texts = [half + noise(r, 50, "0123456789") for _ in range(2000)]
+    texts += [edited(r, t, 2, "0123456789") for t in texts[:40]]
+    seen = []
+    whole = line_dedup._pairs
+    monkeypatch.setattr(line_dedup, "_pairs", lambda rows: seen.append(whole(rows)) or seen[-1])
+    _, links = line_dedup.near_lines(docs_of(spark, texts))
+    assert {(min(x), max(x)) for x in ((t, texts[2000 + k]) for k, t in enumerate(texts[:40])) if x[0] != x[1]} and links.count() >= 40 - sum(t == texts[2000 + k] for k, t in enumerate(texts[:40]))
+    assert sum(x.count() for x in seen) < 20_000
 
 
 def test_lines_two_and_three_edits_apart_go(spark):
@@ -233,12 +268,19 @@ def test_lines_two_and_three_edits_apart_go(spark):
     texts = [base, base.replace("17", "42"), base.replace("form", "farms"), base.replace("visitor", "tourists")]
     got = {x.doc_id: x.removed for x in line_dedup.removed_lines(docs_of(spark, texts)).collect() if x.removed}
     assert [distance(base, t) for t in texts[1:3]] == [2, 2] and distance(base, texts[3]) > 3
-    assert len(base) >= 3 * line_dedup.MIN_CHARS
+    assert len(base) >= 3 * line_dedup.CHARS
     three = [base, base.replace("17", "423")]
     assert got == {1: [0], 2: [0]} and distance(*three) == 3
     assert [x.removed for x in line_dedup.removed_lines(docs_of(spark, three)).collect() if x.doc_id == 1] == [[0]]
 
 
+def test_dedup_lines_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b\nc d", 9, "x", [1], 5), (2, "c d\ne f\nc d", 8, "y", [2], 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of_doc long, row string, removed array<int>, new_text long")
+    got = sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
+    assert got == [(1, "a b\nc d", 9, "x", [1], 5), (2, "e f", 8, "y", [2], 6)]
+
+
 def test_line_dedup_of_odd_rows(odd, empty):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == odd.count() and line_dedup.dedup_lines(empty).count() == 0
