@@ -39,6 +39,8 @@ from quillspark.llm.common import discard, materialise, packed_rows, probable, u
 MOST_EDITS, CHARS = 3, 20
 #: Rows of a key that are joined directly, and how often the rows of larger ones are cut again.
 HOT, DEEPEST = 1_000, 4
+#: Characters behind the common start after which most pairs are known to be unlike.
+OPENING = 24
 #: Characters whose counts are compared before a pair is verified, four bits each, sixteen in a number.
 COUNTED = ("etaoinsrhldcumfp", "0123456789gwyb .")
 _LINE = ("h1", "h2")
@@ -75,27 +77,31 @@ def _size(length: str, x: str) -> str:
 
 
 def _key(text: str, length: str, x: str, *more: str) -> str:
-    part = f"substring({text}, int({_start(length, x)} + {x}.s + 1), int({_size(length, x)}))"
+    """The segment's hash; ``raw``, the bytes of ``text``, is null if any of its characters has more than one."""
+    at, size = f"int({_start(length, x)} + {x}.s + 1)", f"int({_size(length, x)})"
+    part = f"if(raw IS NULL, binary(substring({text}, {at}, {size})), substring(raw, {at}, {size}))"
     return f"xxhash64({', '.join((*more, length, f'{x}.e', f'{x}.i', part))})"
 
 
-def _allowed(length: str, threshold: int | None) -> str:
-    return str(threshold) if threshold is not None else f"least({MOST_EDITS}, {length} div {CHARS})"
+def _raw(text: str) -> Column:
+    return F.expr(f"if(octet_length({text}) = length({text}), binary({text}), null)").alias("raw")
 
 
-def line_keys(threshold: int | None) -> Column:
-    """``key``, ``own`` (indexes; all probe) and the case ``x`` of each segment that ``line`` of length ``n`` looks up."""
-    made = f"named_struct('key', {_key('line', '(n - x.g)', 'x')}, 'own', x.g = 0 AND x.s = 0, 'x', x)"
+def _allowed(length: str, threshold: int | None) -> str:
+    return str(threshold) if threshold is not None else f"least({MOST_EDITS}, {length} div {CHARS})"
 
-    def of(cases: str) -> str:
-        return f"transform({cases}, x -> {made})"
 
+def line_keys(known: DataFrame, threshold: int | None, *columns: str) -> DataFrame:
+    """``columns``, ``key``, ``own`` (indexes; all rows probe) and the case ``x`` of each segment that ``line`` of length ``n`` looks up."""
     if threshold is not None:
-        return F.expr(of(f"filter({_cases(range(threshold, threshold + 1), range(threshold + 1))}, x -> x.g <= n)"))
-    by_length = _cases(range(1, MOST_EDITS + 1), range(MOST_EDITS + 1))
-    long = of(_cases(range(MOST_EDITS, MOST_EDITS + 1), range(MOST_EDITS + 1)))
-    short = of(f"filter({by_length}, x -> x.e = {_allowed('(n - x.g)', None)})")
-    return F.expr(f"if(n >= {MOST_EDITS * CHARS + MOST_EDITS}, {long}, {short})")
+        cases = f"filter({_cases(range(threshold, threshold + 1), range(threshold + 1))}, x -> x.g <= n)"
+    else:
+        long = _cases(range(MOST_EDITS, MOST_EDITS + 1), range(MOST_EDITS + 1))
+        short = f"filter({_cases(range(1, MOST_EDITS + 1), range(MOST_EDITS + 1))}, x -> x.e = {_allowed('(n - x.g)', None)})"
+        cases = f"if(n >= {MOST_EDITS * CHARS + MOST_EDITS}, {long}, {short})"
+    # Cases become rows before keys are made, so that all of it is compiled code.
+    dealt = known.select(*columns, "line", "n", _raw("line")).select("*", F.explode(F.expr(cases)).alias("x"))
+    return dealt.select(*columns, F.expr(_key("line", "(n - x.g)", "x")).alias("key"), F.expr("x.g = 0 AND x.s = 0").alias("own"), "x")
 
 
 def _meeting(keyed: DataFrame) -> DataFrame:
@@ -121,7 +127,12 @@ def _close(a: str, b: str, edits: str) -> Column:
         for k, chars in enumerate(COUNTED)
         for j in range(len(chars))
     )
-    return F.expr(" + ".join(f"least({g}, 16 - ({g}))" for g in gaps) + f" <= 2 * {edits}")
+    whole = " + ".join(f"least({g}, 16 - ({g}))" for g in gaps) + f" <= 2 * {edits}"
+    unlike = " + ".join(
+        f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)"
+        for x in (f"({a}.c{k} ^ {b}.c{k})" for k in range(len(COUNTED)))
+    )
+    return F.expr(f"{unlike} <= 2 * {edits} AND {whole}")
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -154,39 +165,45 @@ def within(a: Column, b: Column, threshold: int) -> Column:
         # Once no state is left, none comes back.
         return F.when(masks[k] == 0, masks).otherwise(bound(match, moved))
 
-    gap = F.length(a) - F.length(b)
-
-    def run(c: Column) -> Column:
-        last = F.aggregate(F.sequence(F.lit(0), F.size(c["b"]) - 1), start, lambda m, j: step(m, j, c))
-        reached = F.shiftright(last[k], 0).bitwiseAND(F.expr("bigint(1)") * F.pow(F.lit(2), gap + k).cast("bigint")) != 0
-        return F.when(F.size(c["b"]) == 0, F.lit(True)).otherwise(reached)
+    def states(c: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.size(c["b"]) - 1), start, lambda m, j: step(m, j, c))
 
     def chars(text: Column) -> Column:
         return F.when(F.length(text) == 0, F.expr("cast(array() as array<string>)")).otherwise(F.split(text, ""))
 
-    def core(text: Column, c: Column) -> Column:
-        return chars(F.substring(text, c["p"] + 1, F.length(text) - c["p"] - c["q"]))
+    def alike(x: Column, y: Column, most: Column) -> Column:
+        """How many characters both start with, up to ``most``: by halving steps."""
 
-    least = F.least(F.length(a), F.length(b))
-    ends = F.struct(a.alias("a"), b.alias("b"), F.reverse(a).alias("ra"), F.reverse(b).alias("rb"), least.alias("n"))
-
-    def alike(c: Column, x: str, y: str, most: Column) -> Column:
         def longer(p: Column, s: Column) -> Column:
-            return F.when((p + s <= most) & (F.substring(c[x], p + 1, s) == F.substring(c[y], p + 1, s)), p + s).otherwise(p)
+            return F.when((p + s <= most) & (F.substring(x, p + 1, s) == F.substring(y, p + 1, s)), p + s).otherwise(p)
 
         return F.aggregate(F.array(*(F.lit(1 << i) for i in range(30, -1, -1))), F.lit(0), longer)
 
-    def cut(c: Column) -> Column:
-        def behind(d: Column) -> Column:
-            return F.struct(d["c"].alias("c"), d["p"].alias("p"), alike(c, "ra", "rb", c["n"] - d["p"]).alias("q"))
+    def whole(c: Column) -> Column:
+        gap = F.length(c["a"]) - F.length(c["b"])
+        ends = alike(F.reverse(c["a"]), F.reverse(c["b"]), F.least(F.length(c["a"]), F.length(c["b"])))
+
+        def run(d: Column) -> Column:
+            bit = F.expr("bigint(1)") * F.pow(F.lit(2), gap + k).cast("bigint")
+            return F.when(F.size(d["b"]) == 0, F.lit(True)).otherwise(states(d)[k].bitwiseAND(bit) != 0)
 
-        return bound(F.struct(c.alias("c"), alike(c, "a", "b", c["n"]).alias("p")), behind)
+        def core(q: Column) -> Column:
+            return F.struct(*(chars(F.substring(c[x], F.lit(1), F.length(c[x]) - q)).alias(x) for x in "ab"))
+
+        return bound(ends, lambda q: bound(core(q), run))
 
     def judge(c: Column) -> Column:
-        return bound(F.struct(core(c["c"]["a"], c).alias("a"), core(c["c"]["b"], c).alias("b")), run)
+        # Most pairs that aren't near show it right after their common start.
+        opening = F.struct(chars(F.substring(c["a"], 1, OPENING + k)).alias("a"), chars(F.substring(c["b"], 1, OPENING)).alias("b"))
+        dead = bound(opening, lambda d: (F.size(d["b"]) > 0) & (states(d)[k] == 0))
+        return F.when(dead, F.lit(False)).otherwise(whole(c))
+
+    def cut(c: Column) -> Column:
+        start_alike = alike(c["a"], c["b"], F.least(F.length(c["a"]), F.length(c["b"])))
+        return bound(start_alike, lambda p: bound(F.struct(*(F.substring(c[x], p + 1, F.length(c[x])).alias(x) for x in "ab")), judge))
 
-    near = bound(ends, lambda c: bound(cut(c), judge))
-    return F.when(F.abs(gap) > k, F.lit(False)).otherwise(near)
+    near = bound(F.struct(a.alias("a"), b.alias("b")), cut)
+    return F.when(F.abs(F.length(a) - F.length(b)) > k, F.lit(False)).otherwise(near)
 
 
 def _near(a: Column, b: Column, threshold: int | None) -> Column:
@@ -199,11 +216,13 @@ def _near(a: Column, b: Column, threshold: int | None) -> Column:
     return out.otherwise(within(a, b, MOST_EDITS))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """``a1, a2, b1, b2`` of different lines that meet on a key and have like counts of characters; lines of one length meet once."""
+def _links(rows: DataFrame, threshold: int | None) -> DataFrame:
+    """``a1, a2, b1, b2`` of different lines that meet on a key and are near; lines of one length meet once."""
     once = F.expr("NOT p.even OR i.h1 < p.h1 OR i.h1 = p.h1 AND i.h2 < p.h2")
     i, p = rows.where("own").alias("i"), rows.alias("p")
-    met = i.join(p, (F.col("i.key") == F.col("p.key")) & once & _close("i", "p", "p.k"))
+    # Pairs that fail are never rows: all tests are part of the join.
+    near = _close("i", "p", "p.k") & _near(F.col("i.line"), F.col("p.line"), threshold)
+    met = i.join(p, (F.col("i.key") == F.col("p.key")) & once & near)
     return met.select(F.col("i.h1").alias("a1"), F.col("i.h2").alias("a2"), F.col("p.h1").alias("b1"), F.col("p.h2").alias("b2")).distinct()
 
 
@@ -213,48 +232,40 @@ def _narrowed(hot: DataFrame, most: int) -> DataFrame:
     right = "2 * x.i <= x.e"
     rest = f"if({right}, substring(rest, int({start} + x.s + {size} + 1)), substring(rest, 1, int({start} + x.s)))"
     left = hot.withColumn("m", F.expr(m)).select(
-        "key", "own", "even", "k", *_LINE, "c0", "c1", F.expr(rest).alias("rest"),
+        "key", "own", "even", "k", *_LINE, "line", "c0", "c1", F.expr(rest).alias("rest"),
         F.expr(f"if({right}, x.e - x.i, x.i)").alias("e"), F.expr(f"if({right}, x.g - x.s, x.s)").alias("g"),
     )
-    cases = _cases(range(most + 1), range(-most, most + 1))
-    made = f"named_struct('key', {_key('rest', '(length(rest) - g)', 'x', 'key')}, 'own', own AND x.s = 0, 'x', x)"
-    keys = F.expr(f"transform(filter({cases}, x -> x.e = e AND x.g = g AND length(rest) >= g), x -> {made})")
-    return left.select("even", "k", *_LINE, "c0", "c1", "rest", F.inline(keys))
+    cases = f"filter({_cases(range(most + 1), range(-most, most + 1))}, x -> x.e = e AND x.g = g AND length(rest) >= g)"
+    dealt = left.select("*", _raw("rest")).select("*", F.explode(F.expr(cases)).alias("x"))
+    key = F.expr(_key("rest", "(length(rest) - g)", "x", "key")).alias("key")
+    return dealt.select(key, F.expr("own AND x.s = 0").alias("own"), "x", "even", "k", *_LINE, "line", "c0", "c1", "rest")
 
 
-def _candidates(distinct: DataFrame, threshold: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs of different lines that may be near, and ``h1, h2, line`` of lines that meet others on a key."""
+def near_pairs(distinct: DataFrame, threshold: int | None) -> DataFrame:
+    """Links between different lines, some of them more than once."""
     known = distinct.select(*_LINE, "line", F.length("line").alias("n"))
     if threshold is None:
         known = known.where(f"n >= {CHARS}")
-    keys = line_keys(threshold)
-    meeting = materialise(_meeting(known.select(F.inline(keys))), "line-keys")
-    seen = known.select(*_LINE, F.inline(keys)).where(probable(meeting, "of_key")(F.col("key")))
-    rows = seen.join(meeting, F.col("key") == F.col("of_key")).select(*_LINE, "key", "own", "x", "rows")
-    rows = materialise(rows, "line-rows")
+    meeting = materialise(_meeting(line_keys(known, threshold)), "line-keys")
+    seen = line_keys(known, threshold, *_LINE).where(probable(meeting, "of_key")(F.col("key")))
+    rows = materialise(seen.join(meeting, F.col("key") == F.col("of_key")).drop("of_key"), "line-rows")
     wanted = materialise(rows.select(F.col("h1").alias("w1"), F.col("h2").alias("w2")).distinct(), "line-wanted")
-    maybe = known.where(probable(wanted, "w1")(F.col("h1")))
-    texts = maybe.join(wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).select(*_LINE, "line", *_counts())
+    of_line = (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
+    texts = known.where(probable(wanted, "w1")(F.col("h1"))).join(wanted, of_line).select("w1", "w2", "line", *_counts())
     texts = materialise(texts, "line-texts")
-    discard(wanted)
-    counts = texts.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), "c0", "c1")
-    rows = rows.join(counts, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).drop("w1", "w2")
-    rows = materialise(rows.withColumns({"k": F.col("x.e"), "even": F.expr("x.g = 0")}), "line-counted")
-    pairs = _pairs(rows.where(f"rows <= {HOT}"))
-    hot = rows.where(f"rows > {HOT}")
-    for level in range(DEEPEST):
+    full = rows.join(texts, of_line).drop("w1", "w2").withColumns({"k": F.col("x.e"), "even": F.expr("x.g = 0"), "rest": F.col("line")})
+    links = _links(full.where(f"rows <= {HOT}"), threshold)
+    hot = full.where(f"rows > {HOT}")
+    for _ in range(DEEPEST):
         if hot.isEmpty():
-            return pairs, texts
-        if not level:
-            lines_of = texts.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("line").alias("rest"))
-            hot = hot.join(lines_of, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).drop("w1", "w2")
+            return links
         keyed = materialise(_narrowed(hot, MOST_EDITS if threshold is None else threshold), "line-hot")
         meeting = materialise(_meeting(keyed), "line-hot-keys")
         rows = materialise(keyed.join(meeting, F.col("key") == F.col("of_key")).drop("of_key"), "line-hot-rows")
         discard(keyed)
-        pairs = pairs.union(_pairs(rows.where(f"rows <= {HOT}")))
+        links = links.union(_links(rows.where(f"rows <= {HOT}"), threshold))
         hot = rows.where(f"rows > {HOT}")
-    return pairs.union(_pairs(hot)), texts
+    return links.union(_links(hot, threshold))
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -266,13 +277,8 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, threshold: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The distinct lines and the links between them (``a1, a2, b1, b2``, once a pair)."""
     distinct = materialise(distinct_lines(docs), "lines")
-    pairs, texts = _candidates(distinct, threshold)
-    pairs = materialise(pairs, "line-pairs")
-    a = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
-    b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
-    close = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(_near(F.col("a"), F.col("b"), threshold))
-    # A pair may come from several keys; lines of two lengths always have the shorter one first.
-    return distinct, materialise(close.select("a1", "a2", "b1", "b2").distinct(), "line-links")
+    # A pair may come from several keys; the shorter line, or the one of the lesser hash, always comes first.
+    return distinct, materialise(near_pairs(distinct, threshold).distinct(), "line-links")
 
 
 def removed_lines(docs: DataFrame, threshold: int | None = None) -> DataFrame:
