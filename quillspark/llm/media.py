@@ -6,7 +6,8 @@ boxes of ``moov`` alone. ``store`` makes the containers that ``op2`` reads back.
 Rows and edge cases
 -------------------
 * null text: the empty text, stored as one frame of zero bytes; null ``doc_id``: kept as null
-* null, truncated or malformed container: null columns and the reason in ``error``
+* null, truncated or malformed container: null columns and the reason in ``error``; nothing a file claims is
+  believed before it is held against the file's size, so memory stays in proportion to that
 * a payload over 4 GiB takes 64-bit chunk offsets and a 64-bit ``mdat`` size
 * repeated rows: one output row each; equal texts give equal containers (no time stamps)
 * empty table: empty result; other input columns are ignored
@@ -28,6 +29,8 @@ SIDE = 8
 FRAME = SIDE * SIDE
 FRAMES_A_CHUNK = 256
 KEY_EVERY = 16
+#: The standard's own boxes nest six deep.
+DEEPEST = 32
 TIMESCALE, FRAME_TICKS = 1000, 40
 # Four-character codes of boxes that only hold boxes, and the unity matrix of ISO/IEC 14496-12.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts"}
@@ -100,10 +103,13 @@ def container(payload: bytes) -> bytes:
     return file_type + moov(before) + size + payload
 
 
-def walk(data: bytes, lo: int = 0, hi: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """Every box as its path of kinds and the bounds of its body, nested ones after the one that holds them."""
-    hi = len(data) if hi is None else hi
-    while lo < hi:
+    held: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while held:
+        lo, hi, path = held.pop()
+        if lo == hi:
+            continue
         if hi - lo < 8:
             raise ValueError(f"{hi - lo} bytes left at {lo}")
         size, kind = struct.unpack_from(">I4s", data, lo)
@@ -116,10 +122,12 @@ def walk(data: bytes, lo: int = 0, hi: int | None = None, path: tuple[bytes, ...
             size = hi - lo
         if size < head or lo + size > hi:
             raise ValueError(f"box {kind!r} at {lo} has size {size}")
+        if len(path) == DEEPEST:
+            raise ValueError(f"boxes nest deeper than {DEEPEST} at {lo}")
         yield (*path, kind), lo + head, lo + size
+        held.append((lo + size, hi, path))
         if kind in NESTED:
-            yield from walk(data, lo + head, lo + size, (*path, kind))
-        lo += size
+            held.append((lo + head, lo + size, (*path, kind)))
 
 
 class Track:
@@ -128,15 +136,17 @@ class Track:
     def __init__(self) -> None:
         self.codec = self.handler = ""
         self.timescale = self.ticks = self.samples = self.sample_size = 0
-        self.sizes: list[int] = []
+        self.sizes: list[int] | None = None
         self.runs: list[tuple[int, int]] = []
         self.chunks: list[int] = []
         self.keys: list[int] | None = None
         self.stts_ticks = 0
 
-    def ranges(self) -> list[tuple[int, int]]:
-        """Offset and length of every sample, by chunk map, chunk offsets and sizes."""
-        sizes = self.sizes or [self.sample_size] * self.samples
+    def ranges(self, end: int) -> list[tuple[int, int]]:
+        """Offset and length of every sample, by chunk map, chunk offsets and sizes; all lie in a file of ``end`` bytes."""
+        if self.sizes is None and self.samples * self.sample_size > end:
+            raise ValueError(f"{self.samples} samples of {self.sample_size} bytes don't fit in {end}")
+        sizes = self.sizes if self.sizes is not None else [self.sample_size] * self.samples
         out: list[tuple[int, int]] = []
         run = -1
         for c, at in enumerate(self.chunks, 1):
@@ -144,18 +154,17 @@ class Track:
                 run += 1
             if run < 0:
                 raise ValueError("the first chunk has no run")
-            for _ in range(self.runs[run][1]):
-                if len(out) == len(sizes):
-                    break
+            for _ in range(min(self.runs[run][1], len(sizes) - len(out))):
                 out.append((at, sizes[len(out)]))
                 at += out[-1][1]
+            if at > end:
+                raise ValueError("a sample lies past the end")
         if len(out) != len(sizes):
             raise ValueError(f"{len(out)} of {len(sizes)} samples have a place")
         return out
 
-    def key_ranges(self) -> list[tuple[int, int]]:
-        """Those of key frames; without a sync table every sample is one."""
-        every = self.ranges()
+    def key_ranges(self, every: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Those of key frames among ``every`` sample's; without a sync table every sample is one."""
         if self.keys is None:
             return every
         if any(not 0 < k <= len(every) for k in self.keys):
@@ -179,13 +188,20 @@ def read_tracks(data: bytes) -> list[Track]:
                 raise ValueError("a table runs past its box")
             return struct.unpack_from(f">{n}{code}", data, at)
 
+        def room(n: int, lo: int = lo, hi: int = hi, kind: bytes = kind) -> None:
+            if hi - lo < n:
+                raise ValueError(f"box {kind!r} has {hi - lo} bytes of {n}")
+
         if kind == b"mdhd":
+            room(1)
             wide = data[lo] == 1
             (t.timescale,) = ints("I", 1, lo + (20 if wide else 12))
             (t.ticks,) = ints("Q" if wide else "I", 1, lo + (24 if wide else 16))
         elif kind == b"hdlr":
+            room(12)
             t.handler = data[lo + 8 : lo + 12].decode("latin-1")
         elif kind == b"stsd":
+            room(16)
             t.codec = data[lo + 12 : lo + 16].decode("latin-1")
         elif kind == b"stts":
             pairs = ints("I", 2 * ints("I", 1, lo + 4)[0], lo + 8)
@@ -197,18 +213,18 @@ def read_tracks(data: bytes) -> list[Track]:
             t.runs = list(zip(flat[::3], flat[1::3], strict=True))
         elif kind == b"stsz":
             t.sample_size, t.samples = ints("I", 2, lo + 4)
-            t.sizes = [] if t.sample_size else list(ints("I", t.samples, lo + 12))
+            t.sizes = None if t.sample_size else list(ints("I", t.samples, lo + 12))
         elif kind in (b"stco", b"co64"):
             t.chunks = list(ints("Q" if kind == b"co64" else "I", ints("I", 1, lo + 4)[0], lo + 8))
     return tracks
 
 
-def payload(data: bytes, track: Track) -> bytes:
-    """The track's samples, in order, from the stored bytes; neighbouring samples are read together."""
+def payload(data: bytes, places: list[tuple[int, int]]) -> bytes:
+    """The samples at ``places``, in order, from the stored bytes; neighbouring samples are read together. No byte is read twice."""
     joined: list[list[int]] = []
-    for at, n in track.ranges():
-        if at + n > len(data):
-            raise ValueError("a sample lies past the end")
+    if sum(n for _, n in places) > len(data):
+        raise ValueError("samples hold more bytes than the file")
+    for at, n in places:
         if joined and joined[-1][1] == at:
             joined[-1][1] += n
         else:
@@ -241,13 +257,16 @@ def describe(media: DataFrame) -> DataFrame:
             if not tracks:
                 raise ValueError("no track")
             track = tracks[0]
-            back, keys = payload(data, track), track.key_ranges()
+            millis = 1000 * track.ticks // max(1, track.timescale)
+            if millis >> 63:
+                raise ValueError(f"{track.ticks} ticks are no duration")
+            places = track.ranges(len(data))
+            back, keys = payload(data, places), track.key_ranges(places)
         except (ValueError, struct.error) as error:
             yield (doc_id, n_bytes, *[None] * 10, str(error))
             return
-        millis = 1000 * track.ticks // max(1, track.timescale)
         yield (
-            doc_id, n_bytes, track.codec, track.handler, millis, track.samples or len(track.sizes), [{"offset": a, "length": n} for a, n in keys],
+            doc_id, n_bytes, track.codec, track.handler, millis, track.samples, [{"offset": a, "length": n} for a, n in keys],
             len(back), sha256(back).hexdigest(), zlib.crc32(back[-FRAME:]), len(data), sha256(data).hexdigest(), None,
         )
 

@@ -2,7 +2,8 @@
 
 Every historical version of a file is content-addressed by SHA-256. A ledger in a shared folder holds which
 blobs were scanned by which rule version, and the findings. A run scans only unseen pairs of blob and rule
-version, appends to the ledger, and joins the findings back to every path that ever held the blob.
+version, appends to the ledger, and joins the findings of the rule versions in force back to every path that ever
+held the blob. A rule's pattern may only change with its version.
 
 Positions come from one anchored pattern: ``\\G``, a lazy gap, the rule. Its matches tile the text up to the
 last finding, so running sums of gap and match lengths are the spans, in code points, end exclusive.
@@ -14,7 +15,7 @@ Rows and edge cases
 * a text may hold any number of findings: they are rows, never one growing value, until they meet per blob
 * copies are scanned once: one row for each blob reaches a scan, combined before the shuffle
 * ties of start: by kind as listed; repeated rows: one output row each; empty table: empty result
-* other input columns are ignored by ``scan``; ``redact`` returns them as they are
+* other input columns are ignored by ``scan``; ``redact`` returns them as they are, whatever their names
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch_path
+from quillspark.llm.common import materialise, packed_rows, probable, scratch_path, unpacked
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ SEARCH = {"assign": BASE[0].pattern[: -len("+)")] + "{12})", "access": r"AKIA[A-
 
 
 def _matches(text: Column, rule: Rule) -> Column:
-    """Gap length, match length and length of the group that counts, in order, for each match."""
+    """Lengths of gap and match, in characters and bytes, and whether the group that counts is long enough, for each match."""
     tiles = rf"\G([\s\S]*?)({rule.pattern})"
 
     def group(k: int) -> Column:
@@ -68,12 +69,15 @@ def _matches(text: Column, rule: Rule) -> Column:
         zipped,
         lambda x: F.struct(
             F.lit(rule.kind).alias("kind"),
+            F.lit(rule.version).alias("version"),
             F.length(x["gap"]).alias("gap"),
             F.length(x["hit"]).alias("size"),
+            F.octet_length(x["gap"]).alias("gap_bytes"),
+            F.octet_length(x["hit"]).alias("bytes"),
             (F.length(x["counts"]) >= rule.least).alias("good"),
         ),
     )
-    none = F.expr("cast(array() as array<struct<kind: string, gap: int, size: int, good: boolean>>)")
+    none = F.expr("cast(array() as array<struct<kind: string, version: int, gap: int, size: int, gap_bytes: int, bytes: int, good: boolean>>)")
     return F.when(text.rlike(SEARCH.get(rule.kind, rule.pattern)), sizes).otherwise(none)
 
 
@@ -103,10 +107,16 @@ def scan_new_blobs(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = R
     every = F.array(*(F.lit(_signature(r)) for r in rules))
     if _is_written(spark, f"{ledger}/seen"):
         seen = spark.read.parquet(f"{ledger}/seen").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("done"))
-        done = seen.where(F.size(F.array_except(every, "done")) == 0)
-        fresh = texts.join(done, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
-        blobs = fresh.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("done", F.expr("array()")))).drop("done")
+        # Only hashes are looked up in the ledger; texts of blobs that are wholly done don't move.
+        asked = texts.select("blob").distinct().join(seen, "blob", "left")
+        asked = asked.select("blob", F.array_except(every, F.coalesce("done", F.expr("array()"))).alias("todo")).where(F.size("todo") > 0)
+        todo = materialise(asked, "secret-todo")
+        if todo.isEmpty():
+            return
+        likely = texts.where(probable(todo.select(F.xxhash64("blob").alias("h")), "h")(F.xxhash64("blob")))
+        blobs = likely.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
     else:
+        todo = texts.select("blob").distinct().withColumn("todo", every)
         blobs = texts.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", every)
     found = F.flatten(
         F.array(*(F.when(F.array_contains("todo", _signature(r)), _matches(F.col("text"), r)).otherwise(F.expr("array()")) for r in rules))
@@ -115,19 +125,24 @@ def scan_new_blobs(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = R
     along = Window.partitionBy("blob", "kind").orderBy("at")
     spans = (
         tiles.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("size")).over(along))
+        .withColumn("byte_end", F.sum(F.col("gap_bytes").cast("long") + F.col("bytes")).over(along))
         .where("good")
-        .select("blob", "kind", (F.col("end") - F.col("size")).alias("start"), "end")
+        .select("blob", "kind", "version", (F.col("end") - F.col("size")).alias("start"), "end", (F.col("byte_end") - F.col("bytes")).alias("byte_start"), "byte_end")
     )
     spans.write.mode("append").parquet(f"{ledger}/findings")
-    keys = texts.select("blob").distinct().withColumn("rules", every)
-    keys.write.mode("append").parquet(f"{ledger}/seen")
+    todo.select("blob", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/seen")
 
 
 def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row for each blob with findings: ``spans``, an array of start, place of the kind, kind and end, in order."""
-    place = F.array_position(F.array(*(F.lit(r.kind) for r in rules)), F.col("kind"))
+    """One row for each blob with findings of ``rules``, at their versions: ``spans``, an array of start, place of the kind, kind, end and bounds in bytes, in order."""
+    place = F.array_position(F.array(*(F.lit(_signature(r)) for r in rules)), F.concat_ws("@", "kind", "version"))
     rows = spark.read.parquet(f"{ledger}/findings").distinct().withColumn("place", place).where("place > 0")
-    return rows.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "place", "kind", "end"))).alias("spans"))
+    each = F.struct("start", "place", "kind", "end", "byte_start", "byte_end")
+    # Written, so that joins with it have both sides dealt anew and a common blob can be split over tasks.
+    return materialise(rows.groupBy("blob").agg(F.array_sort(F.collect_list(each)).alias("spans")), "secret-findings")
+
+
+_NONE = "cast(array() as array<struct<start: bigint, place: bigint, kind: string, end: bigint, byte_start: bigint, byte_end: bigint>>)"
 
 
 def scan(paths: DataFrame, key: str = "doc_id", ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -138,8 +153,9 @@ def scan(paths: DataFrame, key: str = "doc_id", ledger: str | None = None, rules
     ledger = ledger or scratch_path(paths.sparkSession, "secret-ledger")
     scan_new_blobs(paths, ledger, rules)
     held = paths.select(key, blob_id(F.col("text")).alias("blob"))
-    none = F.expr("cast(array() as array<struct<start: bigint, place: bigint, kind: string, end: bigint>>)")
-    return held.join(findings(paths.sparkSession, ledger, rules), "blob", "left").withColumn("spans", F.coalesce("spans", none))
+    found = findings(paths.sparkSession, ledger, rules).withColumnRenamed("blob", "of_blob")
+    joined = held.join(found, F.col("blob") == F.col("of_blob"), "left")
+    return joined.select(key, "blob", F.coalesce("spans", F.expr(_NONE)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -151,24 +167,44 @@ def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def _runs(spans: Column) -> Column:
+    """Bounds in bytes of runs of overlapping spans, which are sorted by start: each end is pushed to the furthest one inside its run."""
+    start = F.struct(F.expr("cast(array() as array<struct<lo: bigint, hi: bigint>>)").alias("runs"), F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi"))
+
+    def step(done: Column, s: Column) -> Column:
+        inside = F.struct(done["runs"].alias("runs"), done["lo"].alias("lo"), F.greatest(done["hi"], s["byte_end"]).alias("hi"))
+        closed = F.when(done["hi"] < 0, done["runs"]).otherwise(F.array_append(done["runs"], F.struct(done["lo"].alias("lo"), done["hi"].alias("hi"))))
+        return F.when(s["byte_start"] < done["hi"], inside).otherwise(F.struct(closed.alias("runs"), s["byte_start"].alias("lo"), s["byte_end"].alias("hi")))
+
+    last = lambda d: F.array_append(d["runs"], F.struct(d["lo"].alias("lo"), d["hi"].alias("hi")))
+    return F.aggregate(spans, start, step, last)
+
+
+def redacted(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with each run of overlapping ``spans`` replaced by ``mark``; pieces are cut by bytes, each once."""
+
+    def pieces(c: Column) -> Column:
+        def piece(j: Column) -> Column:
+            lo = F.when(j == 0, F.lit(0)).otherwise(F.get(c["runs"], j - 1)["hi"])
+            hi = F.when(j == F.size(c["runs"]), F.octet_length(c["raw"])).otherwise(F.get(c["runs"], j)["lo"])
+            return F.substring(c["raw"], (lo + 1).cast("int"), (hi - lo).cast("int")).cast("string")
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(c["runs"])), piece), mark)
+
+    return F.transform(F.array(F.struct(text.cast("binary").alias("raw"), _runs(spans).alias("runs"))), pieces)[0]
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every finding in ``text`` replaced by ``mark`` (overlapping ones by a single mark) and n_chars made to fit."""
+    """``docs`` with every finding in ``text`` replaced by ``mark`` (overlapping ones by a single mark) and n_chars made to fit.
+
+    Only texts whose blob may have findings move to meet them.
+    """
     ledger = scratch_path(docs.sparkSession, "secret-ledger")
     scan_new_blobs(docs, ledger)
-    found = findings(docs.sparkSession, ledger).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(done: Column, s: Column) -> Column:
-        inside = F.struct(done["out"].alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
-        gap = F.substring(F.col("text"), (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int"))
-        return F.when((s["start"] < done["at"]), inside).otherwise(
-            F.struct(F.concat(done["out"], gap, F.lit(mark)).alias("out"), s["end"].alias("at"))
-        )
-
-    rest = F.expr("substring(text, int(_done.at) + 1)")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.col("_done.out"), rest))
-    out = docs.withColumn("_blob", blob_id(F.col("text"))).join(found, "_blob", "left")
-    out = out.withColumn("_done", F.aggregate("_spans", start, step)).withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    found = findings(docs.sparkSession, ledger)
+    rows = packed_rows(docs).withColumn("held", blob_id(F.col("row.text")))
+    maybe = probable(found.select(F.xxhash64("blob").alias("h")), "h")(F.xxhash64("held"))
+    joined = rows.where(maybe).join(found, F.col("held") == F.col("blob"), "left")
+    clean = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(redacted(F.col("row.text"), F.col("spans"), mark))
+    touched = unpacked(joined.withColumn("clean", clean), docs, "clean")
+    return touched.union(unpacked(rows.where(~maybe).withColumn("clean", F.col("row.text")), docs, "clean"))

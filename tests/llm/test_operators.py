@@ -94,6 +94,32 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert dict((x.doc_id, len(x.spans)) for x in secret_scan.scan(docs_of(spark, ["token=abcdefghijkl", "clean"]), ledger=ledger, rules=newer).collect()) == {0: 1, 1: 1}
 
 
+def test_a_rule_of_a_new_version_replaces_its_findings(spark, tmp_path):
+    docs = docs_of(spark, ["abc 12 w1", "abc 12 w1", "none", "w22 x"])
+    ledger, of = str(tmp_path / "ledger"), lambda pattern, version: (secret_scan.Rule("w", pattern, version), secret_scan.Rule("n", r"[0-9]{2}"))
+
+    def spans(rules):
+        return {x.doc_id: [(s.kind, s.start, s.end) for s in x.spans] for x in secret_scan.scan(docs, ledger=ledger, rules=rules).collect()}
+
+    def seen():
+        return spark.read.parquet(f"{ledger}/seen").count(), spark.read.parquet(f"{ledger}/findings").count()
+
+    assert spans(of("w[0-9]", 1)) == {0: [("n", 4, 6), ("w", 7, 9)], 1: [("n", 4, 6), ("w", 7, 9)], 2: [], 3: [("w", 0, 2), ("n", 1, 3)]}
+    first = seen()
+    assert first[0] == 3 and spans(of("w[0-9]", 1))[3] == [("w", 0, 2), ("n", 1, 3)] and seen() == first
+    assert spans(of("w[0-9]+", 2)) == {0: [("n", 4, 6), ("w", 7, 9)], 1: [("n", 4, 6), ("w", 7, 9)], 2: [], 3: [("w", 0, 3), ("n", 1, 3)]}
+    # Only the changed rule was scanned again; going back scans nothing.
+    assert seen() == (6, first[1] + 2)
+    assert spans(of("w[0-9]", 1))[3] == [("w", 0, 2), ("n", 1, 3)] and seen() == (6, first[1] + 2)
+
+
+def test_redaction_of_many_findings_and_clashing_names(spark):
+    text = "é token=abcdefghijkl " * 400 + "end"
+    docs = spark.createDataFrame([(1, text, 5, "h", [1], "c"), (2, "clean", 6, "h", [2], "d")], "doc_id long, text string, row long, held string, spans array<int>, clean string")
+    got = sorted(map(tuple, secret_scan.redact(docs).collect()))
+    assert got == [(1, "é [secret] " * 400 + "end", 5, "h", [1], "c"), (2, "clean", 6, "h", [2], "d")]
+
+
 def test_redaction_covers_overlaps_and_keeps_columns(spark, odd):
     texts = ["a token = deadbeefdeadbeef00 b", "é AKIA" + "Z" * 16 + " x " + "0123456789abcdef", "clean", None]
     got = {x.doc_id: x for x in secret_scan.redact(docs_of(spark, texts)).collect()}
@@ -110,9 +136,10 @@ def test_container_round_trip(n):
     data = bytes(i * 7 % 251 for i in range(n))
     whole = media.container(media.padded(data))
     (track,) = media.read_tracks(whole)
-    assert media.payload(whole, track) == media.padded(data)
+    places = track.ranges(len(whole))
+    assert media.payload(whole, places) == media.padded(data)
     assert (track.codec, track.handler, track.ticks) == ("raw ", "vide", track.stts_ticks)
-    assert all(whole[a : a + size] == media.padded(data)[k * 16 * 64 : k * 16 * 64 + 64] for k, (a, size) in enumerate(track.key_ranges()))
+    assert all(whole[a : a + size] == media.padded(data)[k * 16 * 64 : k * 16 * 64 + 64] for k, (a, size) in enumerate(track.key_ranges(places)))
 
 
 def test_malformed_containers_get_a_reason(spark):
@@ -123,6 +150,36 @@ def test_malformed_containers_get_a_reason(spark):
     assert all(got[i].error and got[i].codec is None for i in range(1, 6))
 
 
+def described(spark, files):
+    rows = list(enumerate(files))
+    df = spark.createDataFrame([(i, 0, bytearray(x)) for i, x in rows], "doc_id long, n_bytes long, media binary")
+    return {x.doc_id: x for x in media.describe(df).collect()}
+
+
+def test_hostile_containers_get_a_reason(spark):
+    nested = b""
+    for _ in range(3000):
+        nested = media.box(b"moov", nested)
+    claims = media.full(b"stsz", struct.pack(">II", 0, 0xFFFFFFFF)), media.full(b"stsz", struct.pack(">II", 1, 0xFFFFFFFF))
+    many = [media.box(b"moov", media.box(b"trak", media.box(b"mdia", x))) for x in (media.box(b"mdhd"), media.box(b"hdlr"), media.box(b"stsd"), *claims)]
+    got = described(spark, [nested, *many])
+    assert all(x.error and x.codec is None for x in got.values()) and len(got) == 6
+
+
+def test_damaged_containers_never_raise(spark):
+    r = random.Random(8)
+    good = [media.container(media.padded(bytes(r.randrange(256) for _ in range(n)))) for n in (0, 100, 3000)]
+    files = []
+    for _ in range(10_000):
+        raw = bytearray(r.choice(good))
+        for _ in range(r.randint(1, 6)):
+            raw[r.randrange(min(len(raw), 700))] = r.choice([0, 1, 255, r.randrange(256)])
+        files.append(raw[: r.choice([len(raw), r.randrange(len(raw))])])
+    got = described(spark, files)
+    assert len(got) == len(files) and any(x.error for x in got.values())
+    assert all((x.error is None) == (x.payload_sha256 is not None) for x in got.values())
+
+
 def test_media_columns_of_odd_rows(odd, empty):
     rows = media.describe(media.store(odd)).collect()
     assert len(rows) == odd.count() and media.describe(media.store(empty)).count() == 0
@@ -237,7 +294,7 @@ def near_by_brute_force(texts, threshold):
     return want, len(links), Counter(a for a, _ in links), at
 
 
-@pytest.mark.parametrize(("threshold", "hot"), [(1, 1000), (2, 1000), (None, 1000), (1, 2), (2, 2), (3, 2), (None, 2)])
+@pytest.mark.parametrize(("threshold", "hot"), [(2, 1000), (3, 2), (None, 2)])
 def test_removed_lines_equal_brute_force(spark, monkeypatch, threshold, hot):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     r = random.Random(9)
