@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import id_and_text, map_rows, materialise
+from quillspark.llm.common import id_and_text, map_rows, materialise, packed_rows
 from quillspark.llm.components import connected_components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -57,12 +57,16 @@ def fingerprint(text: str, words_each: int = SHINGLE_WORDS) -> int:
     sizes = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(sizes + 1) - 1
     starts, ends = (ends - sizes)[: n - words_each + 1].tolist(), ends[words_each - 1 :].tolist()
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the 64-bit hashes."""
     total = np.zeros(64, np.int64)
-    for lo in range(0, len(starts), _BLOCK):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + _BLOCK], ends[lo : lo + _BLOCK])], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int32)
-    return sum(1 << int(b) for b in np.flatnonzero(2 * total > len(starts)))
+    for lo in range(0, len(hashes), _BLOCK):
+        block = hashes[lo : lo + _BLOCK].astype("<u8")
+        total += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return sum(1 << int(b) for b in np.flatnonzero(2 * total > len(hashes)))
 
 
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
@@ -163,13 +167,22 @@ def fuzzy_keys(distinct: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, most_bits: int = MAX_BITS) -> DataFrame:
     """Pairs ``u``, ``v`` of representatives whose fingerprints differ in at most ``most_bits`` (up to 3) bits."""
-    keys = fuzzy_keys(distinct)
+    # The table of fingerprints is small, its keys aren't.
+    keys = fuzzy_keys(distinct.repartition("fp"))
     close = F.expr(f"bit_count(x.fp ^ y.fp) <= {int(most_bits)}")
     x, y = keys.alias("x"), keys.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & F.expr("(x.side = 2 AND x.fp < y.fp) OR (x.side = 0 AND y.side = 1)") & close
     return x.join(y, meet).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
 
 
+def stars(distinct: DataFrame, most_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs ``u < v`` of which one has the least fingerprint under a key of both: a row a key at most, whatever the group's size."""
+    keys = materialise(fuzzy_keys(distinct), "simhash-keys")
+    least = keys.where("side <> 1").groupBy("key").agg(F.min(F.struct("fp", "rep")).alias("y")).select(F.col("key").alias("of"), "y.*")
+    close = F.expr(f"x.key = y.of AND x.rep <> y.rep AND bit_count(x.fp ^ y.fp) <= {int(most_bits)}")
+    return keys.alias("x").join(least.alias("y"), close).select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, most_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id``, ``fingerprint`` as hex digits and ``component_id``, the smallest id reachable over links."""
     prints = materialise(fingerprints(docs, words_each), "simhash")
@@ -187,5 +200,11 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, most_bits:
 
 def keep_one(docs: DataFrame, words_each: int = SHINGLE_WORDS, most_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with only the smallest doc_id of each component; rows without an id stay."""
-    copies = near_duplicates(docs, words_each, most_bits).where("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"] == F.col("_copy"), "left_anti")
+    return without_copies(docs, near_duplicates(docs, words_each, most_bits))
+
+
+def without_copies(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """``docs`` without those whose ``component_id`` is less than their ``doc_id``; columns of any name pass through."""
+    copies = components.where("component_id < doc_id").select(F.col("doc_id").alias("copy")).distinct()
+    left = packed_rows(docs).join(copies, F.col("row.doc_id") == F.col("copy"), "left_anti")
+    return left.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

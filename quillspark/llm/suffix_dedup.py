@@ -4,12 +4,14 @@
    of equals. Neighbouring windows share anchors, so a document is about one anchor for 35 bytes, and equal
    windows have equal anchors at equal offsets.
 2. Anchors whose gram occurs once in the corpus can't start repeats; the rest are found by an aggregation and
-   a join on the gram's hash. Copies of whole documents go at once, by their digests.
+   a join on the gram's hash.
 3. The text around each repeated anchor (its windows) is grouped by anchor. Equal contexts meet in one row
    with their first place, combined before the shuffle.
 4. For each group, the suffixes at anchors are sorted and their common-prefix lengths stack-scanned. In each
    interval of the tree, occurrences are told apart by what extends them to the left: those of one window
-   are a maximal repeat group, and only its first place survives.
+   are a maximal repeat group, and only its first place survives. A group of a gram with over ``HOT``
+   occurrences would not fit a task: its contexts are dealt over many, and an aggregation keeps the first
+   place of each of their windows.
 5. A document loses the windows of its repeated anchors that didn't survive.
 
 Rows and edge cases
@@ -18,28 +20,28 @@ Rows and edge cases
 * null ``doc_id``: kept whole, its text is no source for others
 * rows that repeat a doc_id must repeat its text: they are one document, and get equal rows
 * ties don't exist: places (doc_id, start) order all windows; empty table: empty result; other columns are ignored
-* a gram that fills a third of the corpus: equal contexts are combined before they move; beyond ``HOT``
-  occurrences groups are split by the 34 bytes before or after the gram, whichever the window holds
+* a gram that fills a third of the corpus: equal contexts are combined before they move, and no task holds
+  more than ``HOT`` contexts of it beside the ``HELD`` it may wait for
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from hashlib import blake2b, sha256
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_rows, materialise
+from quillspark.llm.common import map_rows, materialise, probable
 
 WINDOW, GRAM = 100, 32
-#: Gram starts in a window, and the context on either side that splits hot groups.
+#: Gram starts in a window.
 GRAMS = WINDOW - GRAM + 1
-SIDE = (WINDOW - GRAM) // 2
-HOT = 10_000
+#: Occurrences of a gram beyond which its contexts are dealt over ``SALTS`` tasks, and contexts sorted at once.
+HOT, SALTS, HELD = 2_000, 256, 20_000
 #: Places are doc_id * 2**PLACE_BITS + start.
 PLACE_BITS = 40
 _BLOCK_BITS = 20
@@ -119,61 +121,34 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "gram long, doc_id long, at long")
 
 
-def whole_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id`` of documents whose whole text is that of a smaller doc_id; texts don't move, only their digests."""
-    known = docs.where(F.octet_length("text") >= WINDOW).select("doc_id", F.sha2("text", 256).alias("digest"))
-    first = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    first = first.select(F.col("digest").alias("of"), "first")
-    return known.join(first, F.col("digest") == F.col("of")).where("doc_id > first").select("doc_id").distinct()
-
-
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``spots``: the repeated anchors of each document with any (gram, at, and whether it is hot).
-
-    A copy of a whole document has ``copy`` set and no spots: all of it goes, and it is never first.
-    """
+    """``doc_id`` and ``spots``: the repeated anchors of each document with any (gram, at, and whether it is hot)."""
     found = anchor_rows(docs)
     repeated = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("of"), (F.col("n") > HOT).alias("hot"))
     # Written, so that both sides of the join are dealt anew and a hot gram can be split over tasks.
     repeated = materialise(repeated, "grams")
-    spots = found.join(repeated, F.col("gram") == F.col("of")).groupBy("doc_id").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("spots"))
-    copies = materialise(whole_copies(docs), "copies").withColumnRenamed("doc_id", "of_copy")
-    marked = spots.join(copies, F.col("doc_id") == F.col("of_copy"), "left").withColumn("copy", F.col("of_copy").isNotNull())
-    return materialise(marked.select("doc_id", F.when(~F.col("copy"), F.col("spots")).alias("spots"), "copy"), "anchors")
+    spots = found.where(probable(repeated, "of")(F.col("gram"))).join(repeated, F.col("gram") == F.col("of"))
+    return materialise(spots.groupBy("doc_id").agg(F.collect_set(F.struct("at", "gram", "hot")).alias("spots")), "anchors")
 
 
 def contexts(docs: DataFrame, spots: DataFrame) -> DataFrame:
-    """``part`` (the group), ``context`` bytes, ``windows``, ``distance`` and ``place`` of the first window, a row a repeated anchor."""
+    """``part`` (the gram), whether it is ``hot``, ``context`` bytes, ``windows``, ``distance`` and ``place`` of the first window, a row a repeated anchor."""
 
     def make() -> Callable[[tuple], Iterable[tuple]]:
         def row(values: tuple) -> Iterable[tuple]:
             doc_id, text, found = values
             raw = text.encode()
             for spot in found:
-                at, gram = spot["at"], spot["gram"]
+                at = spot["at"]
                 first, count, distance = at >> 16, at >> 8 & 255, at & 255
-                cuts = [(0, count, gram)]
-                if spot["hot"]:
-                    # A window holds SIDE bytes before the gram if the gram starts that far in; else SIDE bytes after it.
-                    turn = min(count, max(0, distance - SIDE + 1))
-                    p = first + distance
-                    before, after = raw[max(0, p - SIDE) : p], raw[p + GRAM : p + GRAM + SIDE]
-                    cuts = [(0, turn, _split(gram, b"<", before)), (turn, count, _split(gram, b">", after))]
-                for lo, hi, part in cuts:
-                    if lo < hi:
-                        yield part, raw[first + lo : first + hi - 1 + WINDOW], hi - lo, distance - lo, doc_id, first + lo
+                yield spot["gram"], spot["hot"], raw[first : first + count - 1 + WINDOW], count, distance, doc_id, first
 
         return row
 
-    own = spots.where(~F.col("copy")).withColumnRenamed("doc_id", "of")
-    joined = docs.join(own, F.col("doc_id") == F.col("of")).select("doc_id", "text", "spots")
-    rows = map_rows(joined, make, "part long, context binary, windows int, distance int, doc_id long, start long", batch_rows=20_000)
+    joined = docs.join(spots.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of")).select("doc_id", "text", "spots")
+    rows = map_rows(joined, make, "part long, hot boolean, context binary, windows int, distance int, doc_id long, start long", batch_rows=20_000)
     place = F.expr(f"cast(doc_id AS decimal(20, 0)) * {1 << PLACE_BITS} + start").cast("decimal(38,0)")
-    return rows.groupBy("part", "context", "windows", "distance").agg(F.min(place).alias("place"))
-
-
-def _split(gram: int, side: bytes, beside: bytes) -> int:
-    return int.from_bytes(blake2b(gram.to_bytes(8, "little", signed=True) + side + beside, digest_size=8).digest(), "little", signed=True)
+    return rows.groupBy("part", "hot", "context", "windows", "distance").agg(F.min(place).alias("place"))
 
 
 def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
@@ -233,8 +208,13 @@ def survivors(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            if len(held) >= 20_000 and held[0][0] != held[-1][0]:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for lo in range(0, len(rows), 1024):
+                hot = [(context[w : w + WINDOW], int(place) + w) for _, is_hot, context, windows, _, place in rows[lo : lo + 1024] if is_hot for w in range(windows)]
+                if hot:
+                    yield _runs([p for _, p in hot], [1] * len(hot), [key for key, _ in hot])
+            held += [(part, *rest) for part, is_hot, *rest in rows if not is_hot]
+            if len(held) >= HELD and held[0][0] != held[-1][0]:
                 cut = len(held) - 1
                 while held[cut - 1][0] == held[-1][0]:
                     cut -= 1
@@ -243,15 +223,29 @@ def survivors(found: DataFrame) -> DataFrame:
         if held:
             yield _survive(held)
 
-    sorted_rows = found.select("part", "context", "windows", "distance", "place").repartition("part").sortWithinPartitions("part")
-    return sorted_rows.mapInArrow(run, "doc_id long, start long, windows int")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("context"), F.lit(SALTS))).otherwise(0).alias("salt")
+    dealt = found.select("part", "hot", "context", "windows", "distance", "place", salt).repartition("part", "salt").drop("salt")
+    made = dealt.sortWithinPartitions("part").mapInArrow(run, "doc_id long, start long, windows int, key binary")
+    made = materialise(made, "survivors")
+    first = made.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at"))
+    return made.where("key IS NULL").drop("key").union(first.select("at.doc_id", "at.start", F.lit(1).alias("windows")))
+
+
+def _runs(places: list[int], windows: list[int], keys: list[bytes | None]) -> pa.RecordBatch:
+    low = (1 << PLACE_BITS) - 1
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([p >> PLACE_BITS for p in places], pa.int64()), pa.array([p & low for p in places], pa.int64()),
+            pa.array(windows, pa.int32()), pa.array(keys, pa.binary()),
+        ],
+        ["doc_id", "start", "windows", "key"],
+    )
 
 
 def _survive(rows: list[tuple]) -> pa.RecordBatch:
     entries = [(part, context, windows, distance, int(place)) for part, context, windows, distance, place in rows]
-    ids, starts, counts = [], [], []
+    places, counts = [], []
     for (_, _, windows, _, place), dead in zip(entries, dead_windows(entries), strict=True):
-        doc_id, start = place >> PLACE_BITS, place & ((1 << PLACE_BITS) - 1)
         w = 0
         while w < windows:
             if dead >> w & 1:
@@ -260,11 +254,10 @@ def _survive(rows: list[tuple]) -> pa.RecordBatch:
             end = w + 1
             while end < windows and not dead >> end & 1:
                 end += 1
-            ids.append(doc_id)
-            starts.append(start + w)
+            places.append(place + w)
             counts.append(end - w)
             w = end
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int32())], ["doc_id", "start", "windows"])
+    return _runs(places, counts, [None] * len(places))
 
 
 def removal(n: int, spots: list[tuple[int, int]], kept: list[tuple[int, int]]) -> np.ndarray:
@@ -287,20 +280,18 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     owned = texts.where("doc_id IS NOT NULL")
     spots = repeated_anchors(owned)
     live = survivors(contexts(owned, spots)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("live"))
-    marks = spots.select(F.col("doc_id").alias("of"), "copy", F.transform("spots", lambda s: s["at"]).alias("ats")).join(
+    marks = spots.select(F.col("doc_id").alias("of"), F.transform("spots", lambda s: s["at"]).alias("ats")).join(
         live.withColumnRenamed("doc_id", "of_live"), F.col("of") == F.col("of_live"), "left"
     )
-    joined = owned.join(marks, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "copy", "ats", "live")
-    none = texts.where("doc_id IS NULL").select("doc_id", "text", *(F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in ("copy", "ats", "live")))
+    joined = owned.join(marks, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "ats", "live")
+    none = texts.where("doc_id IS NULL").select("doc_id", "text", *(F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in ("ats", "live")))
 
     def make() -> Callable[[tuple], Iterable[tuple]]:
         def row(values: tuple) -> Iterable[tuple]:
-            doc_id, text, copy, ats, kept = values
+            doc_id, text, ats, kept = values
             raw = text.encode()
             left, removed, spans = raw, 0, 0
-            if copy:
-                left, removed, spans = b"", len(raw), 1
-            elif ats:
+            if ats:
                 gone = removal(len(raw), [(a >> 16, a >> 8 & 255) for a in ats], [(k["start"], k["windows"]) for k in kept or ()])
                 removed = int(gone.sum())
                 spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
