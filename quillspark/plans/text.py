@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import dates, text
+from quillspark.functions import dates, durations, text
 from quillspark.operators import quality, review
 from quillspark.plans.registry import Tables, query
 from quillspark.sources import tables
@@ -142,14 +142,14 @@ def fuzzy_names(t: Tables) -> DataFrame:
 @query(f"SELECT raw, minutes FROM {_sql_values(DURATIONS, 'raw, minutes')}")
 def reviewer_durations(t: Tables) -> DataFrame:
     """Row 121: whole durations."""
-    return _vectors(t, DURATIONS, "raw string, want int").select("raw", dates.reviewer_minutes(F.col("raw")).alias("minutes"))
+    return _vectors(t, DURATIONS, "raw string, want int").select("raw", durations.reviewer_minutes(F.col("raw")).alias("minutes"))
 
 
 @query("SELECT * FROM (VALUES ('Thai 90 นาที', 90), ('Oil 2 ช', 120), ('1 ชม.2', 60), ('no', NULL), ('22.5 min', 22), ('23.5 min', 24), ('x 1:30 y', 90), ('11:305', NULL)) v(raw, minutes)")
 def first_durations(t: Tables) -> DataFrame:
     """Row 120: the first duration inside a line, halves to even."""
     raws = ("Thai 90 นาที", "Oil 2 ช", "1 ชม.2", "no", "22.5 min", "23.5 min", "x 1:30 y", "11:305")
-    return _vectors(t, raws, "raw string").select("raw", dates.first_duration_minutes(F.col("raw")).alias("minutes"))
+    return _vectors(t, raws, "raw string").select("raw", durations.first_duration_minutes(F.col("raw")).alias("minutes"))
 
 
 @query(f"SELECT raw, CAST(day AS DATE) AS day FROM {_sql_values(DATES, 'raw, day')}")

@@ -7,7 +7,7 @@ import difflib
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import dates, text
+from quillspark.functions import dates, durations, text
 from quillspark.operators import batches, documents, events, quality, queue, review
 from quillspark.plans.text import DATES, DURATIONS, TIMES
 from quillspark.sources import tables
@@ -20,7 +20,7 @@ def one(spark, value, expr, schema="x string"):
 
 @pytest.mark.parametrize(("raw", "want"), DURATIONS)
 def test_reviewer_durations(spark, raw, want):
-    assert one(spark, raw, dates.reviewer_minutes(F.col("x"))) == want
+    assert one(spark, raw, durations.reviewer_minutes(F.col("x"))) == want
 
 
 @pytest.mark.parametrize(("raw", "want"), [*DATES, (None, None), ("", None)])
