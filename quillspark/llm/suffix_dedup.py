@@ -42,6 +42,8 @@ WINDOW, GRAM = 100, 32
 GRAMS = WINDOW - GRAM + 1
 #: Occurrences of a gram beyond which its contexts are dealt over ``SALTS`` tasks, and contexts sorted at once.
 HOT, SALTS, HELD = 2_000, 256, 20_000
+#: Bytes of windows whose equal contexts a task combines before the exchange.
+COMBINED = 4 << 20
 #: Places are doc_id * 2**PLACE_BITS + start.
 PLACE_BITS = 40
 _BLOCK_BITS = 20
@@ -134,21 +136,42 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 def contexts(docs: DataFrame, spots: DataFrame) -> DataFrame:
     """``part`` (the gram), whether it is ``hot``, ``context`` bytes, ``windows``, ``distance`` and ``place`` of the first window, a row a repeated anchor."""
 
-    def make() -> Callable[[tuple], Iterable[tuple]]:
-        def row(values: tuple) -> Iterable[tuple]:
-            doc_id, text, found = values
-            raw = text.encode()
-            for spot in found:
-                at = spot["at"]
-                first, count, distance = at >> 16, at >> 8 & 255, at & 255
-                yield spot["gram"], spot["hot"], raw[first : first + count - 1 + WINDOW], count, distance, doc_id, first
+    names = ["part", "hot", "context", "windows", "distance", "doc_id", "start"]
+    types = [pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
-        return row
+    def packed(least: dict[tuple, tuple]) -> pa.RecordBatch:
+        columns = zip(*((*key, *place) for key, place in least.items()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Equal contexts are combined here, so that the one exchange is dealt by the gram.
+        least: dict[tuple, tuple] = {}
+        held = 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                for doc_id, text, found in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
+                    raw = text.encode()
+                    for spot in found:
+                        at = spot["at"]
+                        first, count, distance = at >> 16, at >> 8 & 255, at & 255
+                        key = spot["gram"], spot["hot"], raw[first : first + count - 1 + WINDOW], count, distance
+                        here = doc_id, first
+                        other = least.get(key)
+                        if other is None or here < other:
+                            held += WINDOW if other is None else 0
+                            least[key] = here
+                    if held > COMBINED:
+                        yield packed(least)
+                        least, held = {}, 0
+        if least:
+            yield packed(least)
 
     joined = docs.join(spots.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of")).select("doc_id", "text", "spots")
-    rows = map_rows(joined, make, "part long, hot boolean, context binary, windows int, distance int, doc_id long, start long", batch_rows=20_000)
+    rows = joined.mapInArrow(run, "part long, hot boolean, context binary, windows int, distance int, doc_id long, start long")
     place = F.expr(f"cast(doc_id AS decimal(20, 0)) * {1 << PLACE_BITS} + start").cast("decimal(38,0)")
-    return rows.groupBy("part", "hot", "context", "windows", "distance").agg(F.min(place).alias("place"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("context"), F.lit(SALTS))).otherwise(0).alias("salt")
+    dealt = rows.select("part", salt, "hot", "context", "windows", "distance", place.alias("place")).repartition("part", "salt")
+    return dealt.groupBy("part", "salt", "hot", "context", "windows", "distance").agg(F.min("place").alias("place"))
 
 
 def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
@@ -223,9 +246,8 @@ def survivors(found: DataFrame) -> DataFrame:
         if held:
             yield _survive(held)
 
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("context"), F.lit(SALTS))).otherwise(0).alias("salt")
-    dealt = found.select("part", "hot", "context", "windows", "distance", "place", salt).repartition("part", "salt").drop("salt")
-    made = dealt.sortWithinPartitions("part").mapInArrow(run, "doc_id long, start long, windows int, key binary")
+    rows = found.select("part", "hot", "context", "windows", "distance", "place")
+    made = rows.sortWithinPartitions("part").mapInArrow(run, "doc_id long, start long, windows int, key binary")
     made = materialise(made, "survivors")
     first = made.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("at"))
     return made.where("key IS NULL").drop("key").union(first.select("at.doc_id", "at.start", F.lit(1).alias("windows")))
