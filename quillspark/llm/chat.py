@@ -1,10 +1,12 @@
 """Chat formatting: roles of transcript turns by a hidden Markov model and Viterbi, then canonical turns.
 
-A turn is observed through its speaker marker (``Human:``, ``AI:``, ... or none), which is cut off, and through
-features of its lines. Start, transition and emission probabilities are counted over all turns whose role is
-known, with one added to each count. Viterbi runs over blocks of ``BLOCK`` turns: a block is a max-plus matrix
-from the role before it to its last role, matrices of a conversation are chained, and each block is then traced
-between its two known ends. So a conversation with a third of all rows is dealt over many tasks.
+A turn is observed through its speaker marker (``Human:``, ``AI:``, ... or none) and through features of its lines. A
+marker is cut off only where the recovered role is its own; a word that also starts sentences (``A:``, ``Context:``)
+is a marker only if the conversation uses it twice, so no other word of a text is lost. Start, transition and emission probabilities are counted over all turns whose role is
+known, with one added to each count. Turns are sorted by conversation, turn and text over all
+tasks, and what a task holds of a conversation is a block: a max-plus matrix from the role before it to its last role.
+Matrices of a conversation are chained, and each block is then traced between its two known ends. So a conversation
+with a third of all rows is dealt over many tasks, whatever its turns' numbers.
 
 Rows and edge cases
 -------------------
@@ -28,29 +30,44 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import materialise
 
 ROLES = ("system", "user", "assistant")
-BLOCK = 256
 MARKERS = {"system": ("system", "context"), "user": ("user", "human", "q"), "assistant": ("assistant", "ai", "bot", "a")}
-_ANY = "|".join(w for words in MARKERS.values() for w in words)
-_PATTERN = rf"(?i)^\s*[*#]{{0,3}}({_ANY})[*]{{0,2}}\s*[:>][*]{{0,2}}\s*"
+#: Markers that are ordinary words: only before a colon, and only if the conversation has them twice.
+WEAK = ("context", "q", "a")
+_WORDS = [w for words in MARKERS.values() for w in words]
+_PATTERN = (
+    rf"(?i)^\s*[*#]{{0,3}}(?:({'|'.join(w for w in _WORDS if w not in WEAK)})[*]{{0,2}}\s*[:>]"
+    rf"|({'|'.join(WEAK)})[*]{{0,2}}\s*:)[*]{{0,2}}\s*"
+)
 #: How many values each feature takes.
 FEATURES = {"marker": 4, "size": 6, "line": 3, "ask": 2}
 
 
 def observe(turns: DataFrame) -> DataFrame:
-    """``conv_id, turn, role`` (place in ``ROLES`` or null), ``body`` without its marker, the features and ``block``."""
+    """``conv_id, turn, role`` (place in ``ROLES`` or null), ``body``, ``cut`` (the marker's length), the features and ``block``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    word = F.lower(F.regexp_extract(text, _PATTERN, 1))
+    known = F.array_position(F.array(*(F.lit(r) for r in ROLES)), F.lower("role"))
+    word = F.lower(F.concat(F.regexp_extract("body", _PATTERN, 1), F.regexp_extract("body", _PATTERN, 2)))
+    dealt = turns.select("conv_id", "turn", F.when(known > 0, known - 1).cast("int").alias("role"), text.alias("body"))
+    # The last key parts rows that are alike in all else, whose order doesn't matter.
+    dealt = dealt.repartitionByRange("conv_id", "turn", "body", F.rand(7)).withColumn("block", F.spark_partition_id().cast("long"))
+    dealt = materialise(dealt.withColumn("word", word), "chat-turns")
+    uses = dealt.where(F.col("word").isin(*WEAK)).groupBy("conv_id", "word").count().where("count > 1")
+    uses = materialise(uses.select(F.col("conv_id").alias("of"), F.col("word").alias("weak")), "chat-markers")
+    used = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("word") == F.col("weak"))
+    seen = dealt.join(uses, used, "left")
+    word = F.when(~F.col("word").isin(*WEAK) | F.col("weak").isNotNull(), F.col("word")).otherwise("")
     marker = F.lit(0)
     for k, role in enumerate(ROLES, 1):
-        marker = F.when(word.isin(*MARKERS[role]), F.lit(k)).otherwise(marker)
-    known = F.array_position(F.array(*(F.lit(r) for r in ROLES)), F.lower("role"))
-    body = F.regexp_replace(text, _PATTERN, "")
+        marker = F.when(F.col("word").isin(*MARKERS[role]), F.lit(k)).otherwise(marker)
+    head = F.when(F.col("marker") > 0, F.length("body") - F.length(F.regexp_replace("body", _PATTERN, ""))).otherwise(0)
+    said = F.expr("substring(body, cut + 1)")
     return (
-        turns.select("conv_id", "turn", F.when(known > 0, known - 1).cast("int").alias("role"), marker.cast("int").alias("marker"), body.alias("body"))
-        .withColumn("size", F.least(F.lit(5), F.floor(F.log2(F.length("body") / 40 + 1))).cast("int"))
-        .withColumn("line", F.least(F.lit(2), F.size(F.split("body", "\n")) - 1).cast("int"))
-        .withColumn("ask", F.rtrim("body").endswith("?").cast("int"))
-        .withColumn("block", F.expr(f"cast(floor(coalesce(turn, 0) / {BLOCK}) AS bigint)"))
+        seen.withColumn("word", word)
+        .select("conv_id", "turn", "role", "body", "block", marker.cast("int").alias("marker"))
+        .withColumn("cut", head.cast("int"))
+        .withColumn("size", F.least(F.lit(5), F.floor(F.log2(F.length(said) / 40 + 1))).cast("int"))
+        .withColumn("line", F.least(F.lit(2), F.size(F.split(said, "\n")) - 1).cast("int"))
+        .withColumn("ask", F.rtrim(said).endswith("?").cast("int"))
     )
 
 
@@ -77,7 +94,7 @@ def fit(seen: DataFrame) -> Model:
     for row in seen.where("role IS NOT NULL").groupBy("role", *FEATURES).count().collect():
         for f in FEATURES:
             emit[f][row["role"], row[f]] += row["count"]
-    in_block = Window.partitionBy("conv_id", "block").orderBy("turn", "body")
+    in_block = Window.partitionBy("conv_id", "block").orderBy("turn", "body", "role")
     moves = seen.select("conv_id", "block", "role", F.lag("role").over(in_block).alias("was"), F.row_number().over(in_block).alias("k"))
     ends = (
         seen.groupBy("conv_id", "block")
@@ -164,8 +181,9 @@ def chain(blocks: list[tuple[int, list[float], bool]]) -> list[tuple[int, int |
 
 
 def decode(seen: DataFrame, model: Model) -> DataFrame:
-    """``conv_id, turn, body`` and ``role``, the recovered one, of every turn."""
+    """``conv_id, turn, body`` (without the marker of its own role) and ``role``, the recovered one, of every turn."""
     codes = [*FEATURES]
+    marked = codes.index("marker")
     blocks = seen.select("conv_id", "block").groupBy("conv_id").agg(F.min("block").alias("first_block"))
     rows = seen.join(blocks.withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of"))).withColumn(
         "is_first", F.col("block") == F.col("first_block")
@@ -192,9 +210,9 @@ def decode(seen: DataFrame, model: Model) -> DataFrame:
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def turns() -> Iterator[tuple]:
             for (conv, _), run in _groups(batches, 2):
-                _, path = viterbi(model, [r[6:] for r in run], run[0][4], run[0][5])
+                _, path = viterbi(model, [r[7:] for r in run], run[0][4], run[0][5])
                 for row, role in zip(run, path, strict=True):
-                    yield conv, row[2], row[3], ROLES[role]
+                    yield conv, row[2], row[3][row[6] if row[7 + marked] == role + 1 else 0 :], ROLES[role]
 
         yield from _emit(turns(), ["conv_id", "turn", "body", "role"], [pa.int64(), pa.int64(), pa.string(), pa.string()])
 
@@ -202,7 +220,7 @@ def decode(seen: DataFrame, model: Model) -> DataFrame:
     ends = matrix.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(chained, "conv_id long, block long, entry int, exit int")
     ends = materialise(ends, "chat").select(F.col("conv_id").alias("of_conv"), F.col("block").alias("of_block"), "entry", "exit")
     both = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("block") == F.col("of_block")))
-    return dealt(both, "turn", "body", "entry", "exit", *codes).mapInArrow(traced, "conv_id long, turn long, body string, role string")
+    return dealt(both, "turn", "body", "entry", "exit", "cut", *codes).mapInArrow(traced, "conv_id long, turn long, body string, role string")
 
 
 def render(role: Column, body: Column) -> Column:
@@ -215,6 +233,6 @@ def format_turns(turns: DataFrame, known: Callable[[DataFrame], DataFrame] = lam
 
     Roles of ``turns`` only count towards the model; ``known`` may blank some of them.
     """
-    seen = observe(turns)
+    seen = materialise(observe(turns), "chat-seen")
     found = decode(seen, fit(known(seen)))
     return found.select("conv_id", "turn", "role", render(F.col("role"), F.col("body")).alias("rendered"))

@@ -499,6 +499,47 @@ def test_mined_rules_hold_against_brute_force(spark):
     assert {x.verdict for x in url_filter.judge(pages, marks.limit(0)).collect()} == {"allow"}
 
 
+def plain_rules(rows):
+    """All itemsets of bad baskets, judged on all baskets, without those that a shorter one shadows."""
+    place = {}
+    for k, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            place.setdefault(t, set()).add(k)
+    item = {t: min(u for u in place if place[u] == place[t]) for t in place}
+    baskets = [({item[t] for t in tokens}, bad) for tokens, bad in rows]
+    total, all_bad, sure, z = len(rows), sum(b for _, b in rows), {}, url_filter.Z
+    for tokens in {frozenset(c) for has, bad in baskets if bad for n in range(1, len(has) + 1) for c in itertools.combinations(sorted(has), n)}:
+        n = sum(tokens <= has for has, _ in baskets)
+        hit = sum(tokens <= has for has, bad in baskets if bad)
+        share = hit / n
+        low = (share + z * z / (2 * n) - z * ((share * (1 - share) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
+        if hit >= max(url_filter.MIN_COUNT, url_filter.MIN_SUPPORT * total) and low >= url_filter.MIN_CONFIDENCE and share * total >= url_filter.MIN_LIFT * all_bad:
+            sure[tokens] = share
+    return {tuple(sorted(t)): c for t, c in sure.items() if not any(o < t and d >= c for o, d in sure.items())}
+
+
+def test_mining_equals_brute_force(spark):
+    r = random.Random(12)
+    rows = []
+    for _ in range(400):
+        tokens = r.sample("abcdefg", r.randint(1, 5))
+        tokens += ["twin", "sister"] if "a" in tokens else []
+        rows.append((tokens, {"a", "b"} <= set(tokens) and r.random() < 0.97 or {"c", "d", "e"} <= set(tokens) or r.random() < 0.05))
+    df = spark.createDataFrame([(f"u{k}", *row) for k, row in enumerate(rows)], "url string, tokens array<string>, bad boolean")
+    got = {tuple(x.tokens): x.confidence for x in url_filter.mine(df)[0].collect()}
+    want = plain_rules(rows)
+    assert got.keys() == want.keys() and len(want) > 1 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_long_urls_are_mined_as_few_items(spark):
+    long = [f"t{k}" for k in range(40)]
+    rows = [(f"u{k}", [*long, f"own{k}"], True) for k in range(30)] + [(f"v{k}", ["other", f"x{k}"], False) for k in range(30)]
+    rules, classes = url_filter.mine(spark.createDataFrame(rows, "url string, tokens array<string>, bad boolean"))
+    assert [x.tokens for x in rules.collect()] == [["t0"]]
+    urls = spark.createDataFrame([(1, ["t17"]), (2, ["other"])], "k long, tokens array<string>")
+    assert [x.k for x in url_filter.mined_matches(urls, rules, classes, "k").collect()] == [1]
+
+
 # BPE
 
 
@@ -535,7 +576,8 @@ def test_bpe_of_odd_rows(odd, empty):
 def test_rules_of_four_tokens_and_of_query_strings(spark):
     four = ["a", "b", "c", "d"]
     rows = [(four, True)] * 10 + [([t for t in four if t != gone], False) for gone in four for _ in range(10)]
-    found = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.01, 0.6).collect()
+    rows = [(f"u{k}", *row) for k, row in enumerate(rows)]
+    found = url_filter.mine(spark.createDataFrame(rows, "url string, tokens array<string>, bad boolean"))[0].collect()
     assert [x.tokens for x in found] == [four]
     urls = [(i, f"http://x.y/p?kind={'spam' if i % 2 else 'ham'}") for i in range(40)]
     pages = spark.createDataFrame(urls, "page_id long, url string")
@@ -584,6 +626,43 @@ def test_blocks_find_the_best_path():
         assert path == whole
 
 
+def test_viterbi_equals_the_best_of_all_paths():
+    r = np.random.default_rng(5)
+    n = range(len(chat.ROLES))
+    model = chat.Model(r.random(3) * 9, r.random((3, 3)) * 9, {f: r.random((3, k)) * 9 for f, k in chat.FEATURES.items()})
+    for size in (1, 2, 4, 7):
+        codes = [tuple(int(r.integers(k)) for k in chat.FEATURES.values()) for _ in range(size)]
+
+        def score(path, codes=codes):
+            moves = sum(model.move[a][b] for a, b in itertools.pairwise(path))
+            return float(model.start[path[0]]) + moves + sum(model.of[c][x] for c, x in zip(codes, path, strict=True))
+
+        best, path = chat.viterbi(model, codes, None)
+        whole = max(itertools.product(n, repeat=size), key=score)
+        assert abs(best - score(whole)) < 1e-9 and path == list(whole)
+
+
+def test_no_word_of_a_text_is_lost(spark):
+    texts = ["A > B implies C", "Context: see page 4", "Q: once", "a: one\nmore", "Human: hello there", "System > low", "user:   ", "it is human: yes"]
+    rows = [(k, 0, None, t) for k, t in enumerate(texts)]
+    rows += [(100, t, "user" if t % 2 == 0 else "assistant", x) for t, x in enumerate(["Q: why?", "A: because. " * 9] * 6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(x.conv_id, x.turn): x for x in chat.format_turns(turns).collect()}
+    for k in (0, 1, 2, 3, 7):
+        assert texts[k] in got[k, 0].rendered
+    assert "why?" in got[100, 0].rendered and "Q:" not in got[100, 0].rendered and "A: because. b" not in got[100, 1].rendered
+    for k, t in enumerate(texts):
+        said = got[k, 0].rendered
+        marker = re.match(r"(Human|System|user)\b", t)
+        assert t.strip() in said or marker and got[k, 0].role in (marker[0].lower(), "user" if marker[0] == "Human" else marker[0].lower())
+
+
+def test_turns_without_a_number_come_first(spark):
+    rows = [(1, -300, "assistant", "AI: because"), (1, None, "user", "Human: why?"), (1, 5, "assistant", "AI: so")]
+    seen = chat.observe(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("block", "turn").collect()
+    assert [x.turn for x in seen] == [None, -300, 5]
+
+
 def test_chat_of_odd_rows(spark):
     rows = [(None, 0, "user", None), (1, None, None, ""), (1, 0, "robot", "User: hi"), (1, 0, "robot", "User: hi"), (2, 700, "user", "x" * 5000), (2, -3, "system", "System: s")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
