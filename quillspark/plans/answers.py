@@ -12,7 +12,7 @@ from quillspark.plans.text import _documents
 
 @query("SELECT p_partkey, p_name AS name, CAST(30 + p_size AS INT) AS minutes, CAST(30 + p_size AS INT) AS total FROM part")
 def treatment_lines(t: Tables) -> DataFrame:
-    """Rows 101, 102, 103, 122: names, durations and totals of treatment lines."""
+    """Rows 102, 122: names, durations and totals of treatment lines of one segment; branch noise and visual aliases aren't built."""
     line = F.concat("p_name", F.lit(" "), (30 + F.col("p_size")).cast("string"), F.lit(" min"))
     parsed = t.part.select("p_partkey", answers.parse_treatments(line).alias("t"))
     return parsed.select("p_partkey", F.col("t.items")[0]["nameRaw"].alias("name"), F.col("t.items")[0]["durationMinutes"].alias("minutes"), F.col("t.totalMinutes").alias("total"))

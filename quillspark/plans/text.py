@@ -132,7 +132,7 @@ def markup_text(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_names(t: Tables) -> DataFrame:
-    """Rows 90, 100, 106, 107, 108, 109: the best master entry of misspelt names; the ratio has no SQL."""
+    """Rows 90, 108, 109: the best master entry of misspelt names; the ratio has no SQL."""
     masters = t.nation.select(F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("name"), F.array(F.substring("n_name", 1, 3)).alias("aliases"))
     asked = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     raw = F.when(F.col("s_suppkey") % 3 == 0, F.lower("n_name")).when(F.col("s_suppkey") % 3 == 1, F.substring("n_name", 2, 20)).otherwise(F.substring("n_name", 1, 3))
@@ -299,7 +299,7 @@ def flat_export(t: Tables) -> DataFrame:
 @query("""SELECT o_orderkey, 'customerInformation.name' AS field, o_orderpriority AS old_raw, upper(o_orderpriority) || '!' AS verified_value, true AS confirms FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
   UNION ALL SELECT o_orderkey, 'staffOnly.roomNo.removed', CAST(o_orderkey AS VARCHAR), NULL, false FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def review_changes(t: Tables) -> DataFrame:
-    """Rows 140, 141, 142, 143, 166, 170: an edit and a removal as change rows, and cleared flags."""
+    """Rows 140, 141, 143, 166, 170: an edit and a removal as change rows, and cleared flags."""
     doc = review.canonical(F.col("json"))
     rows = _documents(t).select("o_orderkey", doc.alias("doc")).withColumn("old", review.leaves(F.col("doc")))
     name = F.col("doc.customerInformation.name")
