@@ -132,23 +132,32 @@ def _match_score(raw: pd.Series, name: pd.Series, raw_key: pd.Series, raw_bones:
     return pd.Series(out, dtype="float64")
 
 
-def best_match(rows: DataFrame, raw: str, masters: DataFrame, most_masters: int = 10_000) -> DataFrame:
-    """The best master entry for each distinct ``raw``: ``raw, name, score, is_alias``.
+def best_match(rows: DataFrame, raw: str, masters: DataFrame, most_masters: int = 10_000, scope: str | None = None) -> DataFrame:
+    """The best master entry for each distinct ``raw``: ``raw, name, score, is_alias, ordinal``.
+
+    With ``scope``, a column of ``rows`` and of ``masters`` (there named scope), only entries of a row's scope or of none
+    are matched, and the result has a scope too; a row without one meets all entries. Empty scopes are none.
 
     ``masters`` has ordinal, name and aliases, a master list whose size is checked before it is broadcast. An
     equal key wins with 1.0, the first such entry; else the highest score, of ties the first entry.
     """
     if masters.limit(most_masters + 1).count() > most_masters:
         raise ValueError(f"a master list has at most {most_masters} entries")
-    spelled = masters.select("ordinal", "name", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("spelling_no", "spelling"))
+    none = F.lit(None).cast("string")
+    its_scope = F.nullif(F.col("scope"), F.lit("")) if scope else none
+    spelled = masters.select("ordinal", "name", its_scope.alias("of_scope"), F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("spelling_no", "spelling"))
     spelled = spelled.withColumn("key", match_key(F.col("spelling"))).withColumn("bones", skeleton(F.col("spelling")))
-    asked = rows.select(F.col(raw).alias("raw")).where(F.col("raw").isNotNull()).distinct()
+    asked = rows.select(F.col(raw).alias("raw"), (F.nullif(F.col(scope), F.lit("")) if scope else none).alias("scope")).where(F.col("raw").isNotNull()).distinct()
     asked = asked.withColumn("raw_key", match_key(F.col("raw"))).withColumn("raw_bones", skeleton(F.col("raw")))
+    in_scope = F.col("scope").isNull() | F.col("of_scope").isNull() | (F.col("scope") == F.col("of_scope"))
     order = F.struct("ordinal", "spelling_no")
-    exact = asked.where("raw_key <> ''").join(F.broadcast(spelled), F.col("raw_key") == F.col("key")).groupBy("raw").agg(F.min_by(F.struct("name", (F.col("spelling_no") > 0).alias("is_alias")), order).alias("hit"))
-    rest = asked.join(exact, "raw", "left_anti").join(F.broadcast(spelled))  # every asked text against a checked master list
+    exact = asked.where("raw_key <> ''").join(F.broadcast(spelled), (F.col("raw_key") == F.col("key")) & in_scope).groupBy("raw", "scope").agg(F.min_by(F.struct("name", (F.col("spelling_no") > 0).alias("is_alias"), "ordinal"), order).alias("hit"))
+    found = exact.select(F.col("raw").alias("found"), F.col("scope").alias("found_scope"))
+    left = asked.join(found, (F.col("raw") == F.col("found")) & F.col("scope").eqNullSafe(F.col("found_scope")), "left_anti")
+    rest = left.join(F.broadcast(spelled), in_scope) if scope else left.join(F.broadcast(spelled))  # every asked text against a checked master list
     scored = rest.withColumn("score", _match_score("raw", "spelling", "raw_key", "raw_bones", "bones"))
-    fuzzy = scored.groupBy("raw").agg(F.max_by(F.struct("name", "score"), F.struct("score", -F.col("ordinal"), -F.col("spelling_no"))).alias("hit"))
-    return exact.select("raw", "hit.name", F.lit(1.0).alias("score"), "hit.is_alias").union(
-        fuzzy.select("raw", F.when(F.col("hit.score") > 0, F.col("hit.name")), "hit.score", F.lit(False))
+    fuzzy = scored.groupBy("raw", "scope").agg(F.max_by(F.struct("name", "score", "ordinal"), F.struct("score", -F.col("ordinal"), -F.col("spelling_no"))).alias("hit"))
+    scopes = ["scope"] if scope else []
+    return exact.select("raw", *scopes, "hit.name", F.lit(1.0).alias("score"), "hit.is_alias", "hit.ordinal").union(
+        fuzzy.select("raw", *scopes, F.when(F.col("hit.score") > 0, F.col("hit.name")), "hit.score", F.lit(False), "hit.ordinal")
     )

@@ -136,7 +136,7 @@ def fuzzy_names(t: Tables) -> DataFrame:
     masters = t.nation.select(F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("name"), F.array(F.substring("n_name", 1, 3)).alias("aliases"))
     asked = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     raw = F.when(F.col("s_suppkey") % 3 == 0, F.lower("n_name")).when(F.col("s_suppkey") % 3 == 1, F.substring("n_name", 2, 20)).otherwise(F.substring("n_name", 1, 3))
-    return text.best_match(asked.select(raw.alias("raw")), "raw", masters)
+    return text.best_match(asked.select(raw.alias("raw")), "raw", masters).drop("ordinal")
 
 
 @query(f"SELECT raw, minutes FROM {_sql_values(DURATIONS, 'raw, minutes')}")
