@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import id_and_text, map_rows, materialise, packed_rows
+from quillspark.llm.common import id_and_text, map_rows, materialise, packed_rows, probable
 from quillspark.llm.components import connected_components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 3
@@ -205,6 +205,9 @@ def keep_one(docs: DataFrame, words_each: int = SHINGLE_WORDS, most_bits: int =
 
 def without_copies(docs: DataFrame, components: DataFrame) -> DataFrame:
     """``docs`` without those whose ``component_id`` is less than their ``doc_id``; columns of any name pass through."""
-    copies = components.where("component_id < doc_id").select(F.col("doc_id").alias("copy")).distinct()
-    left = packed_rows(docs).join(copies, F.col("row.doc_id") == F.col("copy"), "left_anti")
+    copies = materialise(components.where("component_id < doc_id").select(F.col("doc_id").cast("long").alias("copy")).distinct(), "copies")
+    # Only rows whose id may be a copy's move to be joined.
+    may_go = probable(copies.select(F.xxhash64("copy").alias("h")), "h")(F.xxhash64(F.col("row.doc_id").cast("long")))
+    rows = packed_rows(docs)
+    left = rows.where(~may_go).union(rows.where(may_go).join(copies, F.col("row.doc_id") == F.col("copy"), "left_anti"))
     return left.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
