@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round is an aggregation and a join over edges, checkpointed in the shared folder; only two numbers
-of each round reach the driver. Null ends are dropped, repeated edges and loops do no harm; without edges
+of each round reach the driver, and joins are merged at every size, never broadcast through it. Null ends are dropped, repeated edges and loops do no harm; without edges
 the result is empty.
 """
 
@@ -16,12 +16,12 @@ from quillspark.llm.common import checkpointed
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    onward = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    onward = edges.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return onward.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 

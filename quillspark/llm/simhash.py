@@ -167,10 +167,10 @@ def fuzzy_keys(distinct: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, most_bits: int = MAX_BITS) -> DataFrame:
     """Pairs ``u``, ``v`` of representatives whose fingerprints differ in at most ``most_bits`` (up to 3) bits."""
-    # The table of fingerprints is small, its keys aren't.
+    # The table of fingerprints is small, its keys aren't. Tables here grow with the input: merged at every size, never broadcast.
     keys = fuzzy_keys(distinct.repartition("fp"))
     close = F.expr(f"bit_count(x.fp ^ y.fp) <= {int(most_bits)}")
-    x, y = keys.alias("x"), keys.alias("y")
+    x, y = keys.alias("x"), keys.alias("y").hint("merge")
     meet = (F.col("x.key") == F.col("y.key")) & F.expr("(x.side = 2 AND x.fp < y.fp) OR (x.side = 0 AND y.side = 1)") & close
     return x.join(y, meet).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
 
@@ -180,7 +180,7 @@ def stars(distinct: DataFrame, most_bits: int = MAX_BITS) -> DataFrame:
     keys = materialise(fuzzy_keys(distinct), "simhash-keys")
     least = keys.where("side <> 1").groupBy("key").agg(F.min(F.struct("fp", "rep")).alias("y")).select(F.col("key").alias("of"), "y.*")
     close = F.expr(f"x.key = y.of AND x.rep <> y.rep AND bit_count(x.fp ^ y.fp) <= {int(most_bits)}")
-    return keys.alias("x").join(least.alias("y"), close).select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v"))
+    return keys.alias("x").join(least.alias("y").hint("merge"), close).select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v"))
 
 
 def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, most_bits: int = MAX_BITS) -> DataFrame:
@@ -188,10 +188,10 @@ def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS, most_bits:
     prints = materialise(fingerprints(docs, words_each), "simhash")
     distinct = materialise(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     roots = connected_components(links(distinct, most_bits))
-    of_fp = distinct.join(roots, distinct["rep"] == roots["node"], "left").select(
+    of_fp = distinct.join(roots.hint("merge"), distinct["rep"] == roots["node"], "left").select(
         F.col("fp").alias("of_fp"), F.coalesce("component", "rep").alias("component")
     )
-    return prints.join(of_fp, F.col("fp") == F.col("of_fp"), "left").select(
+    return prints.join(of_fp.hint("merge"), F.col("fp") == F.col("of_fp"), "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
@@ -209,5 +209,5 @@ def without_copies(docs: DataFrame, components: DataFrame) -> DataFrame:
     # Only rows whose id may be a copy's move to be joined.
     may_go = probable(copies.select(F.xxhash64("copy").alias("h")), "h")(F.xxhash64(F.col("row.doc_id").cast("long")))
     rows = packed_rows(docs)
-    left = rows.where(~may_go).union(rows.where(may_go).join(copies, F.col("row.doc_id") == F.col("copy"), "left_anti"))
+    left = rows.where(~may_go).union(rows.where(may_go).join(copies.hint("merge"), F.col("row.doc_id") == F.col("copy"), "left_anti"))
     return left.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
