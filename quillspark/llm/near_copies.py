@@ -1,15 +1,19 @@
 """SimHash near-dedup of whole corpora: every pair of texts whose word shingles have a Jaccard similarity of ``LEAST`` at least.
 
-Fingerprints of the five-word shingles meet by the Golay keys of ``simhash``, and texts that meet are verified by
-their exact similarity. Fingerprints of 64 bits alone can't find all: at 0.8 they differ in about ten bits, and Golay
-keys reach three. So a set-similarity join by prefixes finds the rest, and makes the result exact. All sets are sorted by one total order, rare shingles first; two
+Fingerprints of the five-word shingles meet by the Golay keys of ``simhash``, texts that meet are verified by
+their exact similarity, and what is verified gives the first components. Fingerprints of 64 bits alone can't find all:
+at 0.8 they differ in about ten bits, and Golay keys reach three. So a set-similarity join by prefixes finds the rest,
+between those components only, and makes the result exact: a prefix key under which all texts are of one component goes
+before anything is joined, and no two texts of one component meet again.
+
+All sets are sorted by one total order, rare shingles first; two
 sets of ``n`` and ``m`` shingles that reach the similarity share one of the first ``n - ceil(LEAST * n) + 1``
 and ``m - ceil(LEAST * m) + 1``. Any order gives the same pairs; the one taken here, from counts of all
 shingles in ``1 << SKETCH_BITS`` buckets, keeps common passages out of the prefixes.
 
-Pairs are made in two rounds. First every text meets one text of each of its Golay keys, and the smallest id of each
-of its prefix keys; what is verified gives components. Then the texts of one key meet where their components still differ. A pair
-inside a component has nothing to add, so a large group of near copies costs a row a key, not a pair.
+Pairs are made in three rounds. First every text meets one text of each of its Golay keys. Then it meets the smallest id
+of each of its prefix keys, if that is of another component; what is verified joins components. Then the texts of one key meet
+where their components still differ. A pair inside a component has nothing to add, so a large group of near copies costs a row a key, not a pair.
 
 Before sets move, a pair must pass a bound: each set has a bitmap of the parities of its shingles' hashes, and two
 bitmaps differ in no more bits than the sets differ in shingles. The bound drops no similar pair; what passes is verified.
@@ -123,7 +127,8 @@ def _sketch(seen: DataFrame) -> np.ndarray:
 
 
 def prefix_keys(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """``key``, ``id``, ``n`` and ``at``, the place of the key in its sorted set, for the keys of each text's prefix; ``part`` is 0 but for hot keys."""
+    """``key``, ``id``, ``n`` and ``at``, the place of the key in its sorted set, for the keys of each text's prefix, with the
+    text's ``component``; ``part`` is 0 but for hot keys. ``docs``: doc_id, text and component."""
     common = docs.sparkSession.sparkContext.broadcast(zlib.compress(sketch.tobytes(), 1))
     hot = HOT_TIMES * max(1.0, float(sketch.mean()))
 
@@ -131,7 +136,7 @@ def prefix_keys(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
         counts = np.frombuffer(zlib.decompress(common.value), np.uint32)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(lo, 256).columns)
+                ids, texts, components = (c.to_pylist() for c in batch.slice(lo, 256).columns)
                 keys, sizes, kept, parts = [np.array([], np.uint64)], [], [], [np.array([], np.int64)]
                 for i, text in zip(ids, texts, strict=True):
                     own = shingles(text)
@@ -146,39 +151,54 @@ def prefix_keys(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                     [
                         pa.array(np.concatenate(keys).view(np.int64), pa.int64()), pa.array(np.repeat(np.array(ids, np.int64), kept), pa.int64()),
                         pa.array(np.repeat(np.array(sizes, np.int32), kept), pa.int32()), pa.array(at.astype(np.int32), pa.int32()),
-                        pa.array(np.concatenate(parts).astype(np.int32), pa.int32()),
+                        pa.array(np.concatenate(parts).astype(np.int32), pa.int32()), pa.array(np.repeat(np.array(components, np.int64), kept), pa.int64()),
                     ],
-                    ["key", "id", "n", "at", "part"],
+                    ["key", "id", "n", "at", "part", "component"],
                 )
 
-    return id_and_text(docs).mapInArrow(run, "key long, id long, n int, at int, part int")
+    columns = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "component")
+    return columns.mapInArrow(run, "key long, id long, n int, at int, part int, component long")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows of ``keys`` without those that are alone under their key: one exchange, then a stream over sorted rows. Rows of hot keys all stay."""
+    """Rows of ``keys`` without those of keys that only one ``component`` has (without that column, one id): one exchange, then a
+    stream over sorted rows. Rows of hot keys all stay, so what waits for the end of its key is bounded."""
+    of = "component" if "component" in keys.columns else "id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row of a batch waits for the next one, with whether its predecessor has its key.
-        held, met = None, False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            key, part = (table.column(c).to_numpy() for c in ("key", "part"))
-            same = key[1:] == key[:-1]
-            stays = part > 0
-            stays[1:] |= same
-            stays[:-1] |= same
-            stays[0] |= met
-            yield from table.slice(0, len(key) - 1).filter(pa.array(stays[:-1])).to_batches()
-            held, met = table.slice(len(key) - 1).to_batches()[0], bool(stays[-1])
-        if held is not None and met:
-            yield held
+        # Rows of the last key of a batch wait for the next one; those of hot keys don't.
+        held: list[pa.RecordBatch] = []
+        for last in (False, True):
+            for batch in batches if not last else [None]:
+                if batch is not None and not batch.num_rows:
+                    continue
+                if batch is not None and held and batch.column("key")[-1] == held[0].column("key")[0] and not batch.column("part")[-1].as_py():
+                    held.append(batch)
+                    continue
+                own = [*held, *([batch] if batch is not None else [])]
+                if not own:
+                    continue
+                table = pa.Table.from_batches(own).combine_chunks()
+                key, part, component = (table.column(c).to_numpy() for c in ("key", "part", of))
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                mixed = np.minimum.reduceat(component, starts) < np.maximum.reduceat(component, starts)
+                stays = np.repeat(mixed, np.diff(np.append(starts, len(key)))) | (part > 0)
+                end = len(key) if last or part[-1] else int(starts[-1])
+                yield from table.slice(0, end).filter(pa.array(stays[:end])).to_batches()
+                held = table.slice(end).to_batches()
 
     dealt = keys.repartition("key", "part").sortWithinPartitions("key")
     return dealt.mapInArrow(run, keys.schema).drop("part")
 
 
+def grouped(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``docs`` with the ``component`` that ``roots`` gives their id, else the id. Only texts whose id may be in ``roots`` move."""
+    may_be = probable(roots.select(F.xxhash64("node").alias("h")), "h")(F.xxhash64("doc_id"))
+    joined = docs.where(may_be).join(roots.hint("merge"), F.col("doc_id") == F.col("node"), "left")
+    named = joined.select("doc_id", "text", F.coalesce("component", "doc_id").alias("component"))
+    return docs.where(~may_be).select("doc_id", "text", F.col("doc_id").alias("component")).union(named)
+
+
 #: Sizes, and what is left from the key on in both sets, allow the similarity; true of the first key that two similar sets share.
 _POSSIBLE = (
     f"{_DOWN} * least(x.n, y.n) >= {_UP} * greatest(x.n, y.n) AND "
@@ -226,23 +246,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 
 
 def links(docs: DataFrame, sketch: np.ndarray, likely: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Pairs ``u``, ``v`` of ids whose components are those of all pairs of similar texts. ``docs``: no null id; ``likely``: pairs to verify first;
-    ``bitmaps``: ``doc_id``, ``n`` and ``odd`` of every text."""
-    # Keys of one text go before anything is joined.
-    keys = materialise(shared_keys(prefix_keys(docs, sketch)), "near-keys")
-    least = keys.groupBy("key").agg(F.min_by(F.struct("id", "n", "at"), "id").alias("y")).select(F.col("key").alias("of"), "y.*")
-    meet = F.expr(f"x.key = y.of AND y.id < x.id AND {_POSSIBLE}")
+    """Pairs ``u``, ``v`` of ids whose components are those of all pairs of similar texts. ``docs``: no null id; ``likely``: pairs of
+    like fingerprints; ``bitmaps``: ``doc_id``, ``n`` and ``odd`` of every text."""
+    likely = materialise(_near_enough(likely, bitmaps), "near-likely")
+    found = _verified(likely, docs, "near-prints")
+    # Keys of one text, or of texts that fingerprints have linked, go before anything is joined.
+    keys = materialise(shared_keys(prefix_keys(grouped(docs, connected_components(found)), sketch)), "near-keys")
+    least = keys.groupBy("key").agg(F.min_by(F.struct("id", "n", "at", "component"), "id").alias("y")).select(F.col("key").alias("of"), "y.*")
+    meet = F.expr(f"x.key = y.of AND y.id < x.id AND y.component <> x.component AND {_POSSIBLE}")
     stars = keys.alias("x").join(least.alias("y"), meet).select(F.col("y.id").alias("u"), F.col("x.id").alias("v"))
-    stars = materialise(_near_enough(stars.union(likely), bitmaps), "near-stars")
-    first = _verified(stars, docs, "near-first")
-    roots = connected_components(first)
-    named = keys.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "at", F.coalesce("component", "id").alias("part"))
+    stars = materialise(_near_enough(stars, bitmaps).join(likely, ["u", "v"], "left_anti"), "near-stars")
+    first = found.union(_verified(stars, docs, "near-first"))
+    roots = connected_components(first).withColumnRenamed("component", "root")
+    named = keys.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "at", F.coalesce("root", "id").alias("part"))
     named = materialise(named, "near-named")
     mixed = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     named = materialise(named.join(mixed, "key", "left_semi"), "near-mixed")
     meet = F.expr(f"x.key = y.key AND x.part < y.part AND {_POSSIBLE}")
     rest = named.alias("x").join(named.alias("y"), meet).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v"))
-    rest = materialise(_near_enough(rest, bitmaps).join(stars, ["u", "v"], "left_anti"), "near-rest")
+    rest = materialise(_near_enough(rest, bitmaps).join(stars.union(likely), ["u", "v"], "left_anti"), "near-rest")
     return first.union(_verified(rest, docs, "near-last"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from conftest import TESTDATA
 
 pytest.importorskip("xxhash")
-from quillspark.llm import near_copies  # noqa: E402
+from quillspark.llm import near_copies, simhash  # noqa: E402
 
 SF = str(TESTDATA / "sf0.001")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -99,3 +99,32 @@ def test_shared_keys_keep_rows_that_meet(spark):
         finally:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
         assert got == sorted(x[:4] for x in rows if often[x[0]] > 1 or x[4])
+
+
+def test_components_of_fingerprints_decide_what_prefix_keys_do(spark, monkeypatch):
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    # 0 to 2 are alike by their fingerprints; 3 is similar to 0 by its shingles, but further away; 9 to 11 are alone.
+    texts = {i: " ".join([*base, *(f"end{i}x{k}" for k in range(i))]) for i in range(3)}
+    texts[3] = " ".join([*base[:2750], *(f"other{k}" for k in range(250))])
+    texts |= {i: " ".join(f"v{i}x{k}" for k in range(60)) for i in range(9, 12)}
+    prints = [simhash.majority(near_copies.shingles(texts[i])) for i in range(4)]
+    assert all((prints[0] ^ prints[i]).bit_count() <= 3 for i in (1, 2)) and (prints[0] ^ prints[3]).bit_count() > 3
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    seen, shared = [], near_copies.shared_keys
+
+    def spy(keys):
+        seen.append([(x.key, x.id) for x in shared(keys).collect()])
+        return shared(keys)
+
+    monkeypatch.setattr(near_copies, "shared_keys", spy)
+    want = {0: 0, 1: 0, 2: 0, 3: 0, 9: 9, 10: 10, 11: 11}
+    assert {x.doc_id: x.component_id for x in near_copies.components(docs).collect()} == want
+    stars = simhash.stars
+    monkeypatch.setattr(near_copies.simhash, "stars", lambda distinct: stars(distinct).limit(0))
+    assert {x.doc_id: x.component_id for x in near_copies.components(docs).collect()} == want
+    with_prints, without = (set(x) for x in seen)
+    assert with_prints < without
+    # What is left has a key of the text that fingerprints didn't link.
+    far = {key for key, i in with_prints if i == 3}
+    assert with_prints and {key for key, _ in with_prints} == far
