@@ -13,6 +13,9 @@ from quillspark.llm import line_dedup, near_copies, packing, quality_rules, secr
 from quillspark.llm.common import materialise
 from quillspark.llm.queries import tokenizer_path
 
+#: Workers stay between stages, beside an executor's full heap: they keep fewer words than for packing alone.
+CACHE_WORDS = 150_000
+
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the list learned from ``labels`` keep."""
@@ -36,7 +39,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
-    return packing.packed(docs, tokenizer_path("word_bpe_49k.json"))
+    return packing.packed(docs, tokenizer_path("word_bpe_49k.json"), CACHE_WORDS)
 
 
 STAGES = [

@@ -34,19 +34,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors.
 
-    Shuffle files of the write go as soon as it is done, since nothing reads them again.
+    Shuffle files of the write go as soon as it is done, since nothing reads them again. ``batch_rows`` bounds the rows
+    that are sent to a Python worker at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
+    before, rows_before = spark.conf.get(_CLEANUP, "false"), spark.conf.get(_BATCH)
     spark.conf.set(_CLEANUP, "true")
+    if batch_rows is not None:
+        spark.conf.set(_BATCH, batch_rows)
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+        spark.conf.set(_BATCH, rows_before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

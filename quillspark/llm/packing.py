@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ from quillspark.llm.common import id_and_text, map_rows, materialise
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
 CACHE_WORDS = 800_000
+#: Rows that go to a worker at once: texts are long, and the executor and its worker both hold a batch.
+BATCH_ROWS = 500
 #: Pieces of one class and block are ranked in one task; blocks grow in number with the table.
 ROWS_A_BLOCK = 20_000
 #: Column generation ends when the basis is proven this close to the optimum of the linear program.
@@ -42,6 +45,7 @@ class _Words(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.most = CACHE_WORDS
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,7 +56,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.encode(word.decode(), add_special_tokens=False).ids
         packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         if len(word) <= 64:
             self[word] = packed
@@ -62,20 +66,29 @@ class _Words(dict):
 _LOADED: dict[str, _Words] = {}
 
 
+def words_of(path: str) -> _Words:
+    """The worker's cache of a vocabulary."""
+    if path not in _LOADED:
+        _LOADED[path] = _Words(path)
+    return _LOADED[path]
+
+
 def document_ids(text: str, path: str) -> bytes:
     """Ids, with the end id, as little-endian unsigned 32-bit integers.
 
     The vocabulary drops white space and no token spans it, so words are encoded one by one.
     """
-    if path not in _LOADED:
-        _LOADED[path] = _Words(path)
-    return b"".join(map(_LOADED[path].__getitem__, text.encode().split())) + END_ID.to_bytes(4, "little")
+    return b"".join(map(words_of(path).__getitem__, text.encode().split())) + END_ID.to_bytes(4, "little")
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document: ``doc_id, start, length, ids_crc32, doc_tokens``."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """The pieces of every document: ``doc_id, start, length, ids_crc32, doc_tokens``. A worker keeps the ids of ``cache_words`` words at most."""
 
     def make() -> Callable[[tuple], Iterable[tuple]]:
+        # A worker may still hold what an earlier stage freed.
+        pa.default_memory_pool().release_unused()
+        words_of(path).most = cache_words
+
         def row(values: tuple) -> Iterable[tuple]:
             ids = document_ids(values[1], path)
             n = len(ids) // 4
@@ -230,6 +243,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFr
     return placed.withColumn("offset", F.sum("length").over(order) - F.col("length")).drop("_place")
 
 
-def packed(docs: DataFrame, path: str) -> DataFrame:
+def packed(docs: DataFrame, path: str, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenise, cut and pack a table of documents."""
-    return pack(materialise(pieces(docs, path), "pieces"))
+    return pack(materialise(pieces(docs, path, cache_words=cache_words), "pieces", BATCH_ROWS))
