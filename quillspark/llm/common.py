@@ -75,6 +75,9 @@ def probable(held: DataFrame, column: str) -> Callable[[Column], Column]:
 
     The hashes' low bits fill a bitmap of bounded size, which every task gets; an exact join must follow. When there
     are more values than bits, all pass, and the join moves what it would have moved without the bitmap.
+
+    The bitmap is written as one row. Plans hold the test many times over, and each copy is planned on the driver: it
+    only reads that row, and doesn't hold how the bitmap was filled.
     """
     spark = held.sparkSession
     bits = min(_MOST_BITS, max(12, (_BITS_EACH * held.count()).bit_length()))
@@ -84,7 +87,7 @@ def probable(held: DataFrame, column: str) -> Callable[[Column], Column]:
     own = held.select(F.shiftrightunsigned(low, 6).alias("w"), F.expr(f"shiftleft(1L, int({column} & 63))").alias("b"))
     every = own.union(spark.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")))
     filled = every.groupBy("w").agg(F.bit_or("b").alias("b")).agg(F.array_sort(F.collect_list(F.struct("w", "b"))).alias("all"))
-    bitmap = filled.select(F.transform("all", lambda x: x["b"])).scalar()
+    bitmap = materialise(filled.select(F.transform("all", lambda x: x["b"]).alias("words")), "bitmap").scalar()
 
     def test(c: Column) -> Column:
         word = F.get(bitmap, F.shiftrightunsigned(c.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int"))

@@ -120,6 +120,8 @@ def _sketch(seen: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)], pa.binary())], ["counts"])
 
     parts = seen.where("n IS NULL").repartition(_SLOTS, "slot").select("counts").mapInArrow(run, "counts binary")
+    # A job a partition: no more of them than slots, into however many partitions the rows were dealt.
+    parts = parts.coalesce(_SLOTS)
     total = np.zeros(1 << SKETCH_BITS, np.uint64)
     for row in parts.toLocalIterator():
         total += np.frombuffer(zlib.decompress(row["counts"]), np.uint32)

@@ -1,4 +1,4 @@
-"""Tables that grow with the input never pass through the driver as broadcasts."""
+"""Tables that grow with the input never pass through the driver as broadcasts, and plans stay small there."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("xxhash")
-from quillspark.llm import components, simhash  # noqa: E402
+from quillspark.llm import components, near_copies, simhash  # noqa: E402
+from quillspark.llm.common import materialise, probable  # noqa: E402
 
 
 def test_joins_of_simhash_are_not_broadcast(spark, tmp_path):
@@ -27,3 +28,28 @@ def test_joins_of_simhash_are_not_broadcast(spark, tmp_path):
         table.collect()
         # Each plan is small enough for a broadcast, and is the one that ran.
         assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_plans_read_a_bitmap_and_do_not_hold_how_it_was_filled(spark):
+    held = spark.range(50).select(F.xxhash64("id").alias("h"))
+    found = spark.range(5000).where(probable(held, "h")(F.xxhash64("id")))
+    ids = {r["id"] for r in found.collect()}
+    assert set(range(50)) <= ids and len(ids) < 1000
+    plan = found._jdf.queryExecution().toString()
+    assert "scalar-subquery" in plan and "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_counts_reach_the_driver_in_few_jobs(spark, monkeypatch):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("a text of six words "), "id").alias("text"))
+    seen = materialise(near_copies._sets(docs.repartition(3)), "sets")
+    frame = type(seen)
+    dealt = frame.repartition
+    want = near_copies._sketch(seen)
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *columns: dealt(self, max(n, 60), *columns))
+    spark.sparkContext.setJobGroup("sketch", "sketch")
+    try:
+        got = near_copies._sketch(seen)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (got == want).all() and got.sum() == 80
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sketch")) <= 2 * near_copies._SLOTS
