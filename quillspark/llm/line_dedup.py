@@ -5,8 +5,10 @@ indexes its own segments under its length, and probes the lengths from its own d
 substrings that an alignment allows: if segment ``i`` is the first with fewer edits up to its end than segments,
 what lies before it holds ``i`` edits and what follows at most ``k - i``.
 
-1. Keys are counted, combined before the shuffle, without what they belong to. Most occur once.
-2. Keys that meet are looked up in a bitmap of bounded size, then by an exact join.
+1. Segments of the lengths that a line probes are often the same characters of it: each such part makes one key, without
+   the length. Keys are counted, combined before the shuffle, without what they belong to. Most occur once.
+2. Keys that meet are looked up in a bitmap of bounded size, then by an exact join. Only what passes is dealt to lengths,
+   and counted again with them.
 3. A key of over ``HOT`` rows makes no pairs. By the rule above, the longer of the two rests has known edits left:
    it is cut into segments again, and rows meet on both keys. This goes on for at most ``DEEPEST`` levels.
 4. Pairs that meet are filtered by counts of 32 characters within the join, and verified by a bit-parallel
@@ -91,17 +93,52 @@ def _allowed(length: str, threshold: int | None) -> str:
     return str(threshold) if threshold is not None else f"least({MOST_EDITS}, {length} div {CHARS})"
 
 
+def _segment(length: int, e: int, i: int) -> tuple[int, int]:
+    """Start and size of segment ``i``, as ``_start`` and ``_size`` give them."""
+    size, longer = divmod(length, e + 1)
+    return i * size + max(0, i - (e + 1 - longer)), size + (i >= e + 1 - longer)
+
+
+def _parts(n: int, threshold: int | None) -> str:
+    """SQL of the constant array of what a line of ``n`` characters looks up.
+
+    That is edits, segment, by how much start and size exceed ``i * (n div (e + 1))`` and ``n div (e + 1)``, and whether it
+    is a segment of the line itself. Segments of several lengths are often the same characters of the line: one part.
+    """
+    found: dict[tuple[int, int, int, int], bool] = {}
+    for g in range(min(n, MOST_EDITS if threshold is None else threshold) + 1):
+        e = min(MOST_EDITS, (n - g) // CHARS) if threshold is None else threshold
+        for i in range(e + 1) if g <= e and (e or threshold is not None) else ():
+            start, size = _segment(n - g, e, i)
+            for s in _shifts(i, e, g):
+                part = (e, i, start + s - i * (n // (e + 1)), size - n // (e + 1))
+                found[part] = found.get(part, False) or g == s == 0
+    return "array(" + ", ".join(f"named_struct('e', {e}, 'i', {i}, 'd', {d}, 't', {t}, 'own', {own})" for (e, i, d, t), own in found.items()) + ")"
+
+
 def line_keys(known: DataFrame, threshold: int | None, *columns: str) -> DataFrame:
-    """``columns``, ``key``, ``own`` (indexes; all rows probe) and the case ``x`` of each segment that ``line`` of length ``n`` looks up."""
-    if threshold is not None:
-        cases = f"filter({_cases(range(threshold, threshold + 1), range(threshold + 1))}, x -> x.g <= n)"
-    else:
-        long = _cases(range(MOST_EDITS, MOST_EDITS + 1), range(MOST_EDITS + 1))
-        short = f"filter({_cases(range(1, MOST_EDITS + 1), range(MOST_EDITS + 1))}, x -> x.e = {_allowed('(n - x.g)', None)})"
-        cases = f"if(n >= {MOST_EDITS * CHARS + MOST_EDITS}, {long}, {short})"
-    # Cases become rows before keys are made, so that all of it is compiled code.
-    dealt = known.select(*columns, "line", "n", _raw("line")).select("*", F.explode(F.expr(cases)).alias("x"))
-    return dealt.select(*columns, F.expr(_key("line", "(n - x.g)", "x")).alias("key"), F.expr("x.g = 0 AND x.s = 0").alias("own"), "x")
+    """``columns``, ``n``, ``key``, ``own`` (indexes; all rows probe) and the place ``x`` of each part that ``line`` of length ``n`` looks up."""
+    # From ``steady`` on, parts depend on the remainder of the length only.
+    least, steady, edits = (CHARS, MOST_EDITS * CHARS + MOST_EDITS, MOST_EDITS) if threshold is None else (0, threshold, threshold)
+    lengths = [*range(least, steady), *(steady + (r - steady) % (edits + 1) for r in range(edits + 1))]
+    at_length = f"if(n >= {steady}, {steady - least} + n % {edits + 1}, n - {least})"
+    parts = f"get(array({', '.join(_parts(n, threshold) for n in lengths)}), {at_length})"
+    # Parts become rows before keys are made, so that all of it is compiled code.
+    dealt = known.select(*columns, "line", "n", _raw("line")).select("*", F.explode(F.expr(parts)).alias("x"))
+    at, size = "int(x.i * (n div (x.e + 1)) + x.d)", "int(n div (x.e + 1) + x.t)"
+    part = f"if(raw IS NULL, binary(substring(line, {at} + 1, {size})), substring(raw, {at} + 1, {size}))"
+    place = F.expr(f"named_struct('e', x.e, 'i', x.i, 'at', {at}, 'size', {size})").alias("x")
+    return dealt.select(*columns, "n", F.expr(f"xxhash64(x.e, x.i, {part})").alias("key"), F.expr("x.own").alias("own"), place)
+
+
+def by_length(keyed: DataFrame, threshold: int | None, *columns: str) -> DataFrame:
+    """Rows of ``line_keys`` once for each length whose segment the part may be, under a key of both, with the case ``x``."""
+    m = "(n - g)"
+    dealt = keyed.select("*", F.explode(F.expr("sequence(0, least(n, x.e))")).alias("g"))
+    dealt = dealt.withColumn("s", F.expr(f"int(x.at - {_start(m, 'x')})"))
+    fits = f"{_allowed(m, threshold)} = x.e AND {_size(m, 'x')} = x.size AND s BETWEEN greatest(-x.i, g - (x.e - x.i)) AND least(x.i, g + x.e - x.i)"
+    case = F.expr("named_struct('e', x.e, 'g', g, 'i', x.i, 's', s)").alias("x")
+    return dealt.where(fits).select(*columns, F.expr(f"xxhash64(key, {m})").alias("key"), F.expr("g = 0 AND s = 0").alias("own"), case)
 
 
 def _meeting(keyed: DataFrame) -> DataFrame:
@@ -111,6 +148,14 @@ def _meeting(keyed: DataFrame) -> DataFrame:
     return counted.where("owns > 0 AND rows > 1").select("of_key", "rows")
 
 
+def _met(keyed: DataFrame, name: str) -> DataFrame:
+    """The written table ``keyed`` without keys that don't meet, with ``rows`` of the key; ``keyed`` goes."""
+    meeting = materialise(_meeting(keyed), f"{name}-keys")
+    rows = materialise(keyed.join(meeting, F.col("key") == F.col("of_key")).drop("of_key"), f"{name}-rows")
+    discard(keyed)
+    return rows
+
+
 def _counts() -> list[Column]:
     """Counts of ``COUNTED`` characters modulo 16."""
     out = []
@@ -246,9 +291,10 @@ def near_pairs(distinct: DataFrame, threshold: int | None) -> DataFrame:
     known = distinct.select(*_LINE, "line", F.length("line").alias("n"))
     if threshold is None:
         known = known.where(f"n >= {CHARS}")
-    meeting = materialise(_meeting(line_keys(known, threshold)), "line-keys")
-    seen = line_keys(known, threshold, *_LINE).where(probable(meeting, "of_key")(F.col("key")))
-    rows = materialise(seen.join(meeting, F.col("key") == F.col("of_key")).drop("of_key"), "line-rows")
+    parts = materialise(_meeting(line_keys(known, threshold)), "line-parts")
+    seen = line_keys(known, threshold, *_LINE).where(probable(parts, "of_key")(F.col("key")))
+    seen = seen.join(parts, F.col("key") == F.col("of_key"))
+    rows = _met(materialise(by_length(seen, threshold, *_LINE), "line-cases"), "line")
     wanted = materialise(rows.select(F.col("h1").alias("w1"), F.col("h2").alias("w2")).distinct(), "line-wanted")
     of_line = (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
     texts = known.where(probable(wanted, "w1")(F.col("h1"))).join(wanted, of_line).select("w1", "w2", "line", *_counts())
@@ -259,10 +305,7 @@ def near_pairs(distinct: DataFrame, threshold: int | None) -> DataFrame:
     for _ in range(DEEPEST):
         if hot.isEmpty():
             return links
-        keyed = materialise(_narrowed(hot, MOST_EDITS if threshold is None else threshold), "line-hot")
-        meeting = materialise(_meeting(keyed), "line-hot-keys")
-        rows = materialise(keyed.join(meeting, F.col("key") == F.col("of_key")).drop("of_key"), "line-hot-rows")
-        discard(keyed)
+        rows = _met(materialise(_narrowed(hot, MOST_EDITS if threshold is None else threshold), "line-hot"), "line-hot")
         links = links.union(_links(rows.where(f"rows <= {HOT}"), threshold))
         hot = rows.where(f"rows > {HOT}")
     return links.union(_links(hot, threshold))

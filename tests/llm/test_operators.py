@@ -311,6 +311,49 @@ def test_removed_lines_equal_brute_force(spark, monkeypatch, threshold, hot):
     assert {x.doc_id: x.n_links for x in got if x.n_links} == {d: n for d, n in of_doc.items() if n}
 
 
+def cases_of(n, threshold):
+    """Edits, gap, segment and shift of all that a line of ``n`` characters looks up, and the characters there."""
+    most = line_dedup.MOST_EDITS if threshold is None else threshold
+    for g in range(min(n, most) + 1):
+        e = min(most, (n - g) // line_dedup.CHARS) if threshold is None else threshold
+        for i in range(e + 1) if g <= e and (e or threshold is not None) else ():
+            sizes = sorted((n - g + k) // (e + 1) for k in range(e + 1))
+            for s in range(max(-i, g - (e - i)), min(i, g + e - i) + 1):
+                at = sum(sizes[:i]) + s
+                yield (e, g, i, s), (at, at + sizes[i])
+
+
+def lines_of_lengths(spark, lengths):
+    r = random.Random(4)
+    texts = sorted({noise(r, n, letters) for n in lengths for letters in ("abcdefgh", "abcdéfñ你😀")})
+    return spark.createDataFrame([(t, t) for t in texts], "text string, line string").withColumn("n", F.length("line"))
+
+
+@pytest.mark.parametrize("threshold", [None, 0, 1, 3, 5])
+def test_a_line_makes_a_key_for_each_part_once(spark, threshold):
+    known = lines_of_lengths(spark, [*range(20 if threshold is None else 0, 72), 150, 151, 152, 153, 361])
+    for x in line_dedup.line_keys(known, threshold, "text").groupBy("text").agg(F.count("*").alias("n")).collect():
+        want = {(c[0], c[2], span) for c, span in cases_of(len(x.text), threshold)}
+        assert x.n == len(want) and (threshold is not None or x.n <= 14)
+
+
+@pytest.mark.parametrize("threshold", [None, 0, 1, 3, 5])
+def test_parts_are_dealt_to_all_lengths(spark, threshold):
+    known = lines_of_lengths(spark, [*range(20 if threshold is None else 0, 72), 150, 151, 152, 153, 361])
+    rows = line_dedup.by_length(line_dedup.line_keys(known, threshold, "text"), threshold, "text").collect()
+    got, key_of = {}, {}
+    for x in rows:
+        got.setdefault(x.text, []).append((tuple(x.x), x.own))
+        at, end = dict(cases_of(len(x.text), threshold))[tuple(x.x)]
+        seen = (x.x.e, x.x.i, len(x.text) - x.x.g, x.text[at:end])
+        if 0 <= at and end <= len(x.text):  # no alignment reaches beyond the line
+            assert key_of.setdefault(seen, x.key) == x.key
+    assert len(set(key_of.values())) == len(key_of)
+    for x in known.collect():
+        want = sorted((c, c[1] == c[3] == 0) for c, _ in cases_of(len(x.text), threshold))
+        assert sorted(got.get(x.text, [])) == want
+
+
 def test_lines_with_a_common_half_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 50)
     r = random.Random(3)
