@@ -260,7 +260,7 @@ def links(docs: DataFrame, sketch: np.ndarray, likely: DataFrame, bitmaps: DataF
     stars = materialise(_near_enough(stars, bitmaps).join(likely, ["u", "v"], "left_anti"), "near-stars")
     first = found.union(_verified(stars, docs, "near-first"))
     roots = connected_components(first).withColumnRenamed("component", "root")
-    named = keys.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", "at", F.coalesce("root", "id").alias("part"))
+    named = keys.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("key", "id", "n", "at", F.coalesce("root", "id").alias("part"))
     named = materialise(named, "near-named")
     mixed = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     named = materialise(named.join(mixed, "key", "left_semi"), "near-mixed")
@@ -292,7 +292,7 @@ def components(docs: DataFrame) -> DataFrame:
     alone = known.where(~may_go).union(known.where(may_go).join(copies, F.col("doc_id") == F.col("_copy"), "left_anti"))
     same = named.where("rep < doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     roots = connected_components(links(alone, sketch, likely, seen.select("doc_id", "n", "odd")).union(same))
-    return named.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select(
+    return named.select("doc_id").distinct().join(roots.hint("merge"), F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("component_id")
     )
 

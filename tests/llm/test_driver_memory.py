@@ -53,3 +53,19 @@ def test_counts_reach_the_driver_in_few_jobs(spark, monkeypatch):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert (got == want).all() and got.sum() == 80
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sketch")) <= 2 * near_copies._SLOTS
+
+
+def test_few_edges_take_few_plans(spark, monkeypatch):
+    far = 1 << 40
+    rows = [(k, k + 1) for k in range(60)] + [(far + (7 * k) % 61, far + (7 * k + 7) % 61) for k in range(60)] + [(-5, -5), (None, 3), (-9, -7), (-7, -9)]
+    edges = spark.createDataFrame(rows, "u long, v long")
+    want = sorted([(k, 0) for k in range(1, 61)] + [(far + k, far) for k in range(1, 61)] + [(-7, -9)])
+    kept, plans = components.checkpointed, []
+    monkeypatch.setattr(components, "checkpointed", lambda df: plans.append(df) or kept(df))
+    assert sorted(map(tuple, components.connected_components(edges).collect())) == want
+    assert len(plans) == 2
+    # More edges than one task takes go through rounds of stars, until few are left or nothing changes.
+    monkeypatch.setattr(components, "LOCAL_EDGES", 10)
+    assert sorted(map(tuple, components.connected_components(edges).collect())) == want
+    assert len(plans) > 5
+    assert components.connected_components(edges.where("u > v + 100")).count() == 0
