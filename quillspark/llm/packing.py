@@ -18,6 +18,7 @@ Rows and edge cases
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable
@@ -40,27 +41,78 @@ GAP = 2e-3
 _TOLERANCE = 1e-9
 
 
-class _Words(dict):
-    """Ids, as little-endian bytes, by white-space-delimited word; a missing word is encoded and kept."""
+#: UTF-8 of Latin-1 letters, whose lower case and composed form are one letter each, then ASCII marks.
+_LETTERS_THEN_MARKS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+([!-/:-@\[-`{-~]*)").fullmatch
+
+
+class _Words:
+    """Ids, as little-endian bytes, by white-space-delimited word; a missing word is encoded and kept.
+
+    Words not met since the last ``most / 2`` that were kept wait in ``before``, and go when ``now`` is full again.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         self.most = CACHE_WORDS
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id ends a run of letters or marks, or is a digit.
+        self.last = np.zeros(1 + max(vocabulary.values()), bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode(), add_special_tokens=False).ids
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= self.most:
-            self.clear()
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def keep(self, word: bytes, ids: bytes) -> bytes:
         if len(word) <= 64:
-            self[word] = packed
-        return packed
+            if 2 * len(self.now) >= self.most:
+                self.now, self.before = {}, self.now
+            self.now[word] = ids
+        return ids
+
+    def ids(self, words: list[bytes]) -> bytes:
+        found = list(map(self.now.get, words))
+        missing = {word for word, ids in zip(words, found, strict=True) if ids is None}
+        if missing:
+            fresh = self.learn(missing)
+            found = [fresh[word] if ids is None else ids for word, ids in zip(words, found, strict=True)]
+        return b"".join(found)
+
+    def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of each of ``missing``.
+
+        The vocabulary cuts marks from letters, and the last id of each run says so. Words of letters with or without marks behind
+        are one or two runs: many are encoded in one call and cut there. All other words are encoded one by one.
+        """
+        out: dict[bytes, bytes] = {}
+        joined, runs = [], []
+        for word in missing:
+            ids = self.before.get(word)
+            if ids is not None:
+                out[word] = self.keep(word, ids)
+            elif len(word) <= 64 and (m := _LETTERS_THEN_MARKS(word)):
+                joined.append(word)
+                runs.append(2 if m[1] else 1)
+            else:
+                out[word] = self.keep(word, self.encode(word.decode()).tobytes())
+        for lo in range(0, len(joined), 1024):
+            words, last = joined[lo : lo + 1024], np.cumsum(runs[lo : lo + 1024]) - 1
+            ids = self.encode(b" ".join(words).decode())
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == last[-1] + 1:
+                whole, stops = ids.tobytes(), (4 * (ends[last] + 1)).tolist()
+                each = [whole[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+            else:
+                each = [self.encode(word.decode()).tobytes() for word in words]
+            for word, ids in zip(words, each, strict=True):
+                out[word] = self.keep(word, ids)
+        return out
 
 
 _LOADED: dict[str, _Words] = {}
@@ -76,9 +128,9 @@ def words_of(path: str) -> _Words:
 def document_ids(text: str, path: str) -> bytes:
     """Ids, with the end id, as little-endian unsigned 32-bit integers.
 
-    The vocabulary drops white space and no token spans it, so words are encoded one by one.
+    The vocabulary drops white space and no token spans it, so words are encoded one by one, or many at once and cut.
     """
-    return b"".join(map(words_of(path).__getitem__, text.encode().split())) + END_ID.to_bytes(4, "little")
+    return words_of(path).ids(text.encode().split()) + END_ID.to_bytes(4, "little")
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
